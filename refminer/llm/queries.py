@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from refminer.llm.decontamination import find_overlaps, overlaps_sql
 from refminer.llm.packing import pack_documents
+from refminer.llm.quality_classifier import classify_quality
 from refminer.llm.quality_rules import quality_rules, quality_rules_sql
 
 
@@ -22,9 +24,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify_quality(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op5_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules_sql()}
+    return {"op3_quality_rules": quality_rules_sql(), "op5_decontamination": overlaps_sql()}
