@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from refminer.llm.decontamination import find_overlaps, overlaps_sql
+from refminer.llm.license_scan import scan_licenses
 from refminer.llm.packing import pack_documents
 from refminer.llm.quality_classifier import classify_quality
 from refminer.llm.quality_rules import quality_rules, quality_rules_sql
+from refminer.llm.secrets import scan_secrets
+from refminer.llm.token_counts import count_tokens
+from refminer.llm.url_filter import filter_urls, label_by_document
+from refminer.llm.url_filter import train as train_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, train_urls(label_by_document(pages, table(spark, sf_dir, "labels"))))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -24,17 +34,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify_quality(docs, docs, table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op5_decontamination, op10_quality_classifier)}
+    found = (op1_url_filters, op2_packing, op3_quality_rules, op4_license_scans, op5_decontamination, op6_token_counts, op9_secret_scans, op10_quality_classifier)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
