@@ -172,35 +172,47 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, max_labelled: in
     return fit(row, np.concatenate(idx).astype(np.int64), value, np.clip(table["grade"].to_numpy(np.int64), 0, levels - 1), levels)
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, min_tail: float = MIN_TAIL, columns: tuple[str, ...] = ()) -> DataFrame:
+def _tails(column: pa.Array, model: OrdinalModel) -> np.ndarray:
+    """Probabilities of the grades, rows x grades."""
+    latent = np.concatenate([model.latent(*x) for x in features(column)] or [np.zeros(0)])
+    return model.probabilities(latent)
+
+
+def score(docs: DataFrame, model: OrdinalModel | None, min_tail: float = MIN_TAIL) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the best grade) and keep (tail_probability >= min_tail) of every row.
 
-    columns names further columns of docs to carry along. Null and empty texts are scored as texts without words.
-    Repeated rows are scored each for itself. Without a model the scores are null and everything is kept.
+    Null and empty texts are scored as texts without words, a null doc_id stays null, repeated rows are scored each for
+    itself, other columns are ignored. Without a model the scores are null and everything is kept.
     """
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in columns if c not in ("doc_id", "text")])
-    names = ["doc_id", *[c for c in columns if c != "doc_id"]]
+    chosen = batches.with_doc_columns(docs)
     if model is None:
-        return chosen.select(*names, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("keep"))
+        return chosen.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("keep"))
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(weights, thresholds)
         for part in parts:
-            latent = np.concatenate([own.latent(*x) for x in features(part.column("text"))] or [np.zeros(0)])
-            p = own.probabilities(latent)
-            expected, tail = p @ np.arange(p.shape[1]), p[:, -1]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(expected), pa.array(tail), pa.array(tail >= min_tail)], [*names, "expected_grade", "tail_probability", "keep"])
+            p = _tails(part.column("text"), own)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, -1]), pa.array(p[:, -1] >= min_tail)], ["doc_id", "expected_grade", "tail_probability", "keep"])
+
+    return chosen.mapInArrow(judge, "doc_id bigint, expected_grade double, tail_probability double, keep boolean")
+
+
+def select_quality(docs: DataFrame, model: OrdinalModel | None, min_tail: float = MIN_TAIL) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns."""
+    if model is None:
+        return docs
+    weights, thresholds = model.weights.astype(np.float32), model.thresholds
+    at = docs.columns.index("text")
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = OrdinalModel(weights, thresholds)
+        for part in parts:
+            yield part.filter(pa.array(_tails(part.column(at), own)[:, -1] >= min_tail))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in names)
-    if "text" not in names:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text")
-        names = [f.name for f in chosen.schema if f.name != "text"]
-    else:
-        names = [f.name for f in chosen.schema]
-    return chosen.mapInArrow(judge, fields + ", expected_grade double, tail_probability double, keep boolean")
+    return docs.mapInArrow(pick, docs.schema)
 
 
-def classify_quality(docs: DataFrame, rated_docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL, columns: tuple[str, ...] = ()) -> DataFrame:
+def classify_quality(docs: DataFrame, rated_docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL) -> DataFrame:
     """Train on the rated documents of rated_docs and score docs."""
-    return score(docs, train(rated_docs, graded(labels)), min_tail, columns)
+    return score(docs, train(rated_docs, graded(labels)), min_tail)

@@ -10,6 +10,7 @@ from refminer.llm.decontamination import find_overlaps, overlaps_sql
 from refminer.llm.license_scan import scan_licenses
 from refminer.llm.ngram_join import similar_documents, similar_documents_sql
 from refminer.llm.packing import pack_documents
+from refminer.llm.pii import find_pii
 from refminer.llm.quality_classifier import classify_quality
 from refminer.llm.quality_rules import quality_rules, quality_rules_sql
 from refminer.llm.secrets import scan_secrets
@@ -51,6 +52,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filters, op2_packing, op3_quality_rules, op4_license_scans, op5_decontamination, op6_token_counts, op7_ngram_jaccard_join, op9_secret_scans, op10_quality_classifier)
+    found = (op1_url_filters, op2_packing, op3_quality_rules, op4_license_scans, op5_decontamination, op6_token_counts, op7_ngram_jaccard_join, op8_pii, op9_secret_scans, op10_quality_classifier)
     return {f.__name__: f for f in found}
 
 
