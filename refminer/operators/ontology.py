@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
-    "ord int, repo string, repo_name string, id_pattern string, page_pattern string, page_template string, repo_mapping string, "
+    "ord int, repo string, repo_name string, id_pattern string, page_prefix string, page_template string, repo_mapping string, "
     "repo_root string, default_suffix string, access_mode string, needs_browser boolean"
 )
 
@@ -65,9 +65,8 @@ def load(source: str | tuple[dict[str, Any], ...] | None = None) -> list[dict[st
     out = []
     for k, e in enumerate(DEFAULT if entries is None else entries):
         template = e.get("page_template")
-        prefix = template.split("{}")[0] if template else None
-        escaped = None if prefix is None else "".join("\\" + c if c in r".?*+()[]{}|^$\/" else c for c in prefix)
-        out.append({"ord": k, "page_pattern": escaped, "needs_browser": bool(e.get("needs_browser"))} | {n: e.get(n) for n in ("repo", "repo_name", "id_pattern", "page_template", "repo_mapping", "repo_root", "default_suffix", "access_mode")})
+        prefix = template.split("{}")[0].lower() if template else None
+        out.append({"ord": k, "page_prefix": prefix, "needs_browser": bool(e.get("needs_browser"))} | {n: e.get(n) for n in ("repo", "repo_name", "id_pattern", "page_template", "repo_mapping", "repo_root", "default_suffix", "access_mode")})
     return out
 
 

@@ -1,11 +1,13 @@
 """Resolution of extracted citations against the ontology: identifier, repository, landing page, access mode.
 
-The ontology has a few dozen rows in a fixed order, so "first match wins" compiles to a CASE expression: one projection
-over the citations, no join and no shuffle.
+The ontology has a few dozen rows in a fixed order. It becomes an array literal, and "first match wins" is the first
+element that a filter keeps: one projection over the citations, no join and no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,34 +18,46 @@ from refminer.operators import ontology
 
 Entries = list[dict[str, Any]]
 MISSING = "n/a"
+_TEXTS = ("ord", "repo", "repo_name", "id_pattern", "page_prefix", "page_template", "repo_mapping", "repo_root", "default_suffix", "access_mode")
 
 
-def first_match(entries: Entries, condition: Any, result: Any) -> Column:
-    """The result of the first entry whose condition holds, else null."""
-    out = F.lit(None).cast("string")
-    for entry in reversed(entries):
-        test = condition(entry)
-        if test is not None:
-            out = F.when(test, result(entry)).otherwise(out)
+def as_array(entries: Entries) -> Column:
+    """The entries, in order, as a constant array of structs (one small expression, folded once)."""
+    return F.from_json(F.lit(json.dumps([{n: e[n] for n in _TEXTS} | {"ord": str(k)} for k, e in enumerate(entries)])), "array<struct<" + ", ".join(f"{n}: string" for n in _TEXTS) + ">>")
+
+
+def first_match(entries: Entries, condition: Callable[[Column], Column]) -> Column:
+    """The first entry whose condition holds, else null. Nulls don't hold."""
+    return F.get(F.filter(as_array(entries), lambda e: F.coalesce(condition(e), F.lit(False))), F.lit(0))
+
+
+def by_pattern(entries: Entries, identifier: Column, anchored: bool) -> Column:
+    """Place of the first entry whose identifier pattern matches; the patterns are literals, so each is compiled once."""
+    out = F.lit(None).cast("int")
+    for k in range(len(entries) - 1, -1, -1):
+        if pattern := entries[k]["id_pattern"]:
+            out = F.when(identifier.rlike(f"(?i)^(?:{pattern})" if anchored else f"(?i){pattern}"), F.lit(k)).otherwise(out)
     return out
 
 
 def lookup(entries: Entries, repo: Column, name: str) -> Column:
     """The value called name of the entry with this key, null for none."""
-    found = [(e["repo"], e[name]) for e in entries if e[name] is not None]
-    if not found:
-        return F.lit(None).cast("string")
-    return F.element_at(F.create_map(*[F.lit(x) for pair in found for x in pair]), repo)
+    return first_match(entries, lambda e: e["repo"] == repo)[name]
+
+
+def _of_page(url: Column, entries: Entries) -> Column:
+    return first_match(entries, lambda e: F.contains(F.lower(url), e["page_prefix"]))
 
 
 def repository_of_page(url: Column, entries: Entries) -> Column:
     """The first repository whose landing pages begin like url."""
-    return first_match(entries, lambda e: url.rlike("(?i)" + e["page_pattern"]) if e["page_pattern"] else None, lambda e: F.lit(e["repo"]))
+    return _of_page(url, entries)["repo"]
 
 
 def identifier_in_page(url: Column, entries: Entries) -> Column:
-    """The identifier that a landing page URL ends in, of the first repository it belongs to."""
-    return first_match(entries, lambda e: url.rlike("(?i)" + e["page_pattern"]) if e["page_pattern"] else None, lambda e: extract(url, "(?i)" + e["page_pattern"] + r"([^/?#&]+)", 1))
+    """The identifier that follows a landing page's fixed part, of the first repository that url belongs to."""
+    prefix = _of_page(url, entries)["page_prefix"]
+    return extract(F.substring(url, F.position(prefix, F.lower(url)) + F.length(prefix), F.length(url)), "^[^/?#&]+")
 
 
 def valid_identifier(identifier: Column, entries: Entries) -> Column:
@@ -57,12 +71,14 @@ def valid_identifier(identifier: Column, entries: Entries) -> Column:
 
 
 def identifier_range(identifier: Column) -> Column:
-    """All identifiers of a range such as AB12-AB17, else the identifier alone. Only the last digit run counts up, as its last digit does."""
-    pattern = r"(\w+)(\d+)-(\w+)(\d+)"
-    stem, low = extract(identifier, pattern, 1), extract(identifier, pattern, 2).cast("int")
-    other, high = extract(identifier, pattern, 3), extract(identifier, pattern, 4).cast("int")
-    is_range = stem.isNotNull() & (stem == other) & (low < high)
-    return F.when(is_range, F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.concat(stem, n.cast("string")))).otherwise(F.array(identifier))
+    """All identifiers of a range such as AB08-AB12, zeros kept, else the identifier alone. A range of over 10,000 is left as it is."""
+    pattern = r"^(\w*?)(\d{1,9})-(\w*?)(\d{1,9})$"
+    stem, low = F.regexp_extract(identifier, pattern, 1), F.regexp_extract(identifier, pattern, 2)
+    other, high = F.regexp_extract(identifier, pattern, 3), F.regexp_extract(identifier, pattern, 4)
+    first, last = F.try_to_number(low, F.lit("999999999")).cast("int"), F.try_to_number(high, F.lit("999999999")).cast("int")
+    is_range = (F.length(stem) > 0) & (stem == other) & (first <= last) & (last - first <= 10_000)
+    numbers = F.sequence(first, F.greatest(first, last))
+    return F.when(is_range, F.transform(numbers, lambda n: F.concat(stem, F.lpad(n.cast("string"), F.greatest(F.length(low), F.length(n.cast("string"))), F.lit("0"))))).otherwise(F.array(identifier))
 
 
 def domain_of_repository(repo: Column, page: Column | None = None) -> Column:
@@ -77,16 +93,9 @@ def resolve_repository(repo: Column, identifier: Column, entries: Entries, page:
     else by domain. Mapped keys are replaced, and a candidate whose root this is takes its place. Lower case; null gives 'n/a'."""
     plain = F.translate(repo, "()", "  ")
 
-    def matches(e: dict[str, Any]) -> Column:
-        test = F.lower(plain) == e["repo"].lower()
-        if e["repo_name"]:
-            test = test | F.lower(plain).contains(e["repo_name"].lower())
-        if e["id_pattern"]:
-            known = F.coalesce(identifier, F.lit(MISSING))
-            test = test | ((known != MISSING) & known.rlike(f"(?i)^(?:{e['id_pattern']})"))
-        return test
-
-    found = F.coalesce(repository_of_page(F.when(repo.startswith("http"), repo), entries), first_match(entries, matches, lambda e: F.lit(e["repo"])), domain_of_repository(plain, page))
+    named = first_match(entries, lambda e: (F.lower(plain) == F.lower(e["repo"])) | F.coalesce(F.contains(F.lower(plain), F.lower(e["repo_name"])), F.lit(False)))["ord"]
+    first = F.least(named.cast("int"), by_pattern(entries, F.when(identifier != MISSING, identifier), anchored=True))
+    found = F.coalesce(repository_of_page(F.when(repo.startswith("http"), repo), entries), F.get(as_array(entries), first)["repo"], domain_of_repository(plain, page))
     found = F.coalesce(lookup(entries, found, "repo_mapping"), found)
     if candidate is not None:
         found = F.when(lookup(entries, candidate, "repo_root") == found, candidate).otherwise(found)
@@ -115,19 +124,22 @@ def resolve_citations(citations: DataFrame, source: Any = None) -> DataFrame:
     page = F.col("dataset_webpage") if "dataset_webpage" in citations.columns else F.lit(None).cast("string")
     mode = F.col("access_mode") if "access_mode" in citations.columns else F.lit(None).cast("string")
     ident, repo = F.col("dataset_identifier"), F.col("data_repository")
-    by_page = repository_of_page(page, entries)
-    staged = citations.withColumns({
-        "_page": page,
-        "_mode": mode,
-        "_id": F.coalesce(first_match(entries, lambda e: ident.rlike(f"(?i){e['id_pattern']}") & ~ident.startswith("http") if e["id_pattern"] else None, lambda e: ident), valid_identifier(ident, entries)),
-        "_repo": F.coalesce(resolve_repository(repo, ident, entries, page, by_page), F.lit(MISSING)),
-    })
-    kept = staged.filter(~((F.col("_id") == MISSING) & F.coalesce(F.col("_page") == MISSING, F.lit(True)))).filter(~((F.col("_repo") == MISSING) & F.coalesce(F.col("_page") == MISSING, F.lit(True))))
-    many = kept.withColumn("_id", F.explode(identifier_range(F.col("_id"))))
+    known = by_pattern(entries, F.when(~ident.startswith("http"), ident), anchored=False)
+    own = F.when(known.isNotNull(), ident).otherwise(valid_identifier(ident, entries))
+    staged = citations.withColumns({"_page": page, "_mode": mode, "_of_page": repository_of_page(page, entries), "_in_page": identifier_in_page(page, entries), "_own": own})
+    staged = staged.withColumn("_id", F.when(F.col("_own") != MISSING, F.col("_own")).otherwise(F.coalesce("_in_page", F.lit(MISSING))))
+    found = F.coalesce(resolve_repository(repo, ident, entries, page), F.lit(MISSING))
+    staged = staged.withColumn("_found", F.when(F.lower(F.coalesce(repo, F.lit(MISSING))) == MISSING, F.coalesce("_of_page", F.lit(MISSING))).otherwise(found))
+    root = lookup(entries, F.col("_of_page"), "repo_root")
+    staged = staged.withColumn("_repo", F.when(root == F.col("_found"), F.col("_of_page")).otherwise(F.col("_found")))
+    no_page = F.col("_page").isNull() | (F.col("_page") == MISSING)
+    gone = ((F.col("_id") == MISSING) | (F.col("_repo") == MISSING)) & no_page
+    # dropped rows have no identifier to explode: a filter would be pushed down and repeat all of the above
+    many = staged.withColumn("_id", F.explode(F.when(gone, F.array().cast("array<string>")).otherwise(identifier_range(F.col("_id")))))
     done = many.withColumns({
         "dataset_identifier": accession_for_repository(F.col("_id"), F.col("_repo"), entries),
         "data_repository": F.col("_repo"),
         "dataset_webpage": landing_page(F.col("_repo"), F.col("_id"), entries, F.col("_page")),
         "access_mode": F.coalesce(F.col("_mode"), lookup(entries, F.col("_repo"), "access_mode")),
     })
-    return done.drop("_page", "_mode", "_id", "_repo")
+    return done.drop("_page", "_mode", "_id", "_repo", "_of_page", "_in_page", "_own", "_found")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +25,11 @@ def identifier_mentions(docs: DataFrame, text: str = "text", source: Any = None)
     A text is searched for single patterns only if it has any identifier at all.
     """
     patterns = ontology.search_patterns(source)
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), lambda m, r=repo: F.struct(F.lit(r).alias("repo"), m.alias("mention"))) for repo, p in patterns])
+
+    def hits_of(repo: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(repo).alias("repo"), m.alias("mention")))
+
+    found = F.concat(*[hits_of(repo, p) for repo, p in patterns])
     hits = docs.filter(any_identifier(F.col(text), source)).withColumn("_m", F.explode(found))
     return hits.select(*[c for c in docs.columns if c != text], "_m.repo", "_m.mention")
 
@@ -33,20 +40,59 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", max_broadcast_rows: int = 10_000) -> DataFrame:
-    """query_key, key, distance (squared) and rank of the k nearest rows of corpus to each of queries; ties by key.
+def _blocks(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """n (rows), ids and vectors (both binary) of runs of at most block rows with a vector."""
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, len(part), block):
+                some = part.slice(k, block)
+                vectors = np.array(some.column("v").to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int32()), pa.array([np.array(some.column("k").to_pylist(), np.int64).tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["n", "ids", "vectors"])
+
+    chosen = rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and size(v) > 0")
+    return chosen.mapInArrow(pack, "n int, ids binary, vectors binary")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", block: int = 1024) -> DataFrame:
+    """query_key, key, distance (squared) and rank of the k nearest rows of corpus to each row of queries; ties by key.
 
-    Few queries (checked) are broadcast against a scan of the corpus; each task keeps its k best of each query before
-    anything is shuffled. More queries than max_broadcast_rows are refused: split them.
+    Both sides become blocks of vectors; each pair of blocks is one matrix product, of which only the k best of each query
+    are kept and shuffled. Nothing has to fit on one machine, and there may be any number of queries; the work is the
+    product of both sides, since the search is exact. Rows without a vector or key take no part. Vectors are of one length.
     """
-    few = queries.select(F.col(query_key), F.col(vector).alias("_q"))
-    if few.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
-        raise ValueError(f"more than {max_broadcast_rows} queries in one search")
-    scored = corpus.select(F.col(key), F.col(vector).alias("_v")).crossJoin(F.broadcast(few)).select(query_key, key, squared_distance(F.col("_v"), F.col("_q")).alias("distance"))
-    order = (F.col("distance"), F.col(key))
-    local = scored.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy(query_key, "_part").orderBy(*order))).filter(F.col("_r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")
+    left = _blocks(queries, query_key, vector, block).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"))
+    pairs = left.crossJoin(_blocks(corpus, key, vector, block))
+
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in part.to_pylist():
+                q, v = np.frombuffer(row["qv"]).reshape(row["qn"], -1), np.frombuffer(row["vectors"]).reshape(row["n"], -1)
+                qids, ids = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+                last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                at, what = np.nonzero(rough <= last[:, None] + 1e-6 * (1 + np.abs(last[:, None])))
+                # the products only pick; distances are sums of squared differences, in order
+                exact = np.cumsum((v[what] - q[at]) ** 2, axis=1)[:, -1]
+                order = np.lexsort((ids[what], exact, at))
+                at, what, exact = at[order], what[order], exact[order]
+                first = np.searchsorted(at, at)
+                best = np.arange(len(at)) - first < k
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at[best]]), pa.array(ids[what[best]]), pa.array(exact[best])], [query_key, key, "distance"])
+
+    found = pairs.mapInArrow(search, f"{query_key} bigint, {key} bigint, distance double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def label_recall(hits: DataFrame, labelled: DataFrame, ks: tuple[int, ...], query_key: str = "query_id", key: str = "vec_id", label: str = "label") -> DataFrame:
+    """query_key, label, k and share: how much of the rows with the query's label is among its first k hits. Queries are
+    rows of labelled too; only counts of labels are needed, not the pairs of rows that have one."""
+    ql = labelled.select(F.col(key).alias(query_key), F.col(label))
+    vl = labelled.select(F.col(key), F.col(label).alias("_l"))
+    size = labelled.groupBy(label).agg(F.count("*").alias("_n"))
+    met = hits.join(ql, query_key).join(vl, key).groupBy(query_key, label).agg(*[F.count_if((F.col("rank") <= k) & (F.col("_l") == F.col(label))).alias(f"_{k}") for k in ks])
+    shares = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"_{k}") / F.col("_n")).alias("share")) for k in ks])
+    return met.join(size, label).select(query_key, label, F.inline(shares))
 
 
 def recall_at(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...], query_key: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -60,9 +106,9 @@ def recall_at(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...], query_k
 
 
 def best_configuration(scores: DataFrame, query: str = "query", model: str = "model", k: str = "k", score: str = "recall") -> DataFrame:
-    """For each query the model and k of the highest score; ties by smaller k, then model."""
-    order = F.struct(F.col(score), (-F.col(k)).alias("a"), F.col(model))
-    return scores.groupBy(query).agg(F.max_by(F.struct(model, k, score), F.struct(F.col(score), (-F.col(k)).alias("nk"))).alias("_b")).select(query, "_b.*") if order is not None else scores
+    """For each query the model, k and score of the highest score; ties by smaller k, then model."""
+    best = F.min_by(F.struct(model, k, score), F.struct((-F.col(score)).alias("s"), F.col(k).alias("k"), F.col(model).alias("m")))
+    return scores.groupBy(query).agg(best.alias("_b")).select(query, "_b.*")
 
 
 def relevant_chunks(chunks: DataFrame, hits: DataFrame, key: str = "chunk_key", source: Any = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from refminer.functions.text import clean_words
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order; nulls in keys equal each other."""
@@ -28,7 +30,7 @@ def dedup_items(items: DataFrame, key: str, order: list[str | Column]) -> DataFr
 
 def merge_equal_chunks(chunks: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key and text (case and outer space aside): the first chunk's id and text, and the distinct titles in order, by ' | '."""
-    plain = F.lower(F.trim("text"))
+    plain = F.sha2(F.lower(F.trim("text")), 256)
     gathered = chunks.groupBy(key, plain.alias("_t")).agg(F.min_by("text", order).alias("text"), F.min(order).alias(order), F.sort_array(F.collect_list(F.struct(order, "section_title"))).alias("_s"))
     titles = F.array_distinct(F.transform("_s", lambda s: s["section_title"]))
     return gathered.select(key, order, "text", F.array_join(titles, " | ").alias("section_title"))
@@ -144,8 +146,89 @@ def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int
 
 def duplicate_index(df: DataFrame, value: str, order: str) -> DataFrame:
     """order, first_order: each row that repeats an earlier value, and where it came first."""
-    first = F.min(order).over(Window.partitionBy(value))
-    return df.withColumn("first_order", first).filter(F.col(order) > F.col("first_order")).select(order, "first_order")
+    # the digest is the key: values may be long texts, which needn't move
+    first = F.min(order).over(Window.partitionBy("_v"))
+    return df.select(order, F.sha2(F.col(value).cast("string"), 256).alias("_v")).withColumn("first_order", first).filter(F.col(order) > F.col("first_order")).select(order, "first_order")
+
+
+def word_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """word and n; words are counted before anything is shuffled."""
+    return df.select(F.explode(clean_words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def cell_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, column_name, left_value and right_value (as strings) of the cells that differ in rows both tables have."""
+    names = [c for c in left.columns if c in right.columns and c != key]
+    both = left.select(key, *[F.col(c).alias(f"l_{c}") for c in names]).join(right.select(key, *[F.col(c).alias(f"r_{c}") for c in names]), key)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"l_{c}").cast("string").alias("left_value"), F.col(f"r_{c}").cast("string").alias("right_value")) for c in names])
+    return both.select(key, F.inline(cells)).filter(~F.equal_null("left_value", "right_value"))
+
+
+def joined_strings(df: DataFrame, key: str, columns: dict[str, str], count: str) -> DataFrame:
+    """key, count and, for each column, its distinct values sorted and joined by commas, under the given name."""
+    return df.groupBy(key).agg(F.count("*").alias(count), *[F.array_join(F.sort_array(F.collect_set(c)), ",").alias(name) for c, name in columns.items()])
+
+
+def nested_groups(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
+    """key, n and a JSON list of the group's rows, sorted; missing strings are 'n/a'."""
+    kinds = dict(df.dtypes)
+    row = F.struct(*[F.coalesce(F.col(c), F.lit("n/a")).alias(c) if kinds[c] == "string" else F.col(c) for c in columns])
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_list(row))).alias(name))
+
+
+def size_statistics(df: DataFrame, column: str) -> DataFrame:
+    """One row: total (summed as decimals, so in no order), mean, median and n of a column."""
+    total = F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+    return df.agg(total.alias("total"), F.round(total / F.count(column), 4).alias("mean"), F.round(F.percentile(column, F.lit(0.5)), 4).alias("median"), F.count(column).alias("n"))
+
+
+def length_profile(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, n and the shortest, longest and middle length of a text column."""
+    size = F.length(column)
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.min(size).alias("shortest"), F.max(size).alias("longest"), F.percentile(size, F.lit(0.5)).alias("middle"))
+
+
+def format_frequencies(df: DataFrame, kind: str, url: str) -> DataFrame:
+    """kind, n and the sorted urls of each raw format."""
+    return df.groupBy(kind).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(url)).alias("urls"))
+
+
+def result_summary(citations: DataFrame) -> DataFrame:
+    """what ('rows', 'file_extension', 'data_repository'), value and n: the size of a result and its value counts."""
+    rows = citations.agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), F.lit(None).cast("string").alias("value"), "n")
+    for c in ("file_extension", "data_repository"):
+        if c in citations.columns:
+            rows = rows.unionByName(value_counts(citations, c).select(F.lit(c).alias("what"), F.col(c).alias("value"), "n"))
+    return rows
+
+
+def input_coverage(prompts: DataFrame) -> DataFrame:
+    """coverage: the mean, over rows with identifiers (an array), of the share that occurs in content."""
+    wanted = F.filter("identifiers", lambda i: F.length(i) > 0)
+    share = F.size(F.filter(wanted, lambda i: F.contains(F.lower("content"), F.lower(i)))) / F.size(wanted)
+    return prompts.filter(F.size(wanted) > 0).agg(F.avg(share).alias("coverage"))
+
+
+def all_identifiers_present(rows: DataFrame, identifiers: str, content: str) -> DataFrame:
+    """The rows whose comma-separated identifiers all occur in their content."""
+    return rows.filter(F.forall(F.split(identifiers, ","), lambda i: F.contains(F.col(content), F.trim(i))))
+
+
+def exact_match(rows: DataFrame, left: str, right: str) -> DataFrame:
+    return rows.agg(F.avg((F.trim(left) == F.trim(right)).cast("double")).alias("exact_match"))
+
+
+def catalog_recall(catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """dataset_id and hit: whether any of a dataset's urls, titles or accessions is met by a citation of its publication.
+
+    catalog has dataset_id, publication, urls, titles and accessions (arrays); found has source_url, dataset_identifier,
+    dataset_webpage and title. The join is by publication, an equality; the rest is decided within a publication.
+    """
+    wide = catalog.select("dataset_id", F.lower("publication").alias("p"), F.transform(F.concat("urls", "titles", "accessions"), F.lower).alias("_w"))
+    said = found.select(F.lower("source_url").alias("p"), F.lower(F.concat_ws("\x01", "dataset_identifier", "dataset_webpage", "title")).alias("_s"))
+    joined = wide.join(said, "p", "left")
+    met = F.exists("_w", lambda w: (F.length(w) > 0) & F.col("_s").contains(w))
+    return joined.groupBy("dataset_id").agg(F.coalesce(F.bool_or(met), F.lit(False)).alias("hit"))
 
 
 def word_frequency_difference(left: DataFrame, right: DataFrame) -> DataFrame:
