@@ -168,5 +168,5 @@ def publication_ids(html: Column) -> Column:
 
 def citing_items(value: Column) -> Column:
     """'a, b and c, repo' as ['a,repo', 'b,repo', 'c,repo']: the last item is the repository of the others."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(value, r"\s+and\s+", ","), ","), F.trim), lambda x: F.length(x) > 0)
+    parts = F.filter(F.transform(F.split(F.regexp_replace(value, r"\s+and\s+", ","), ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat_ws(",", x, F.element_at(parts, -1)))

@@ -74,7 +74,7 @@ def section_headings(text: Column) -> Column:
 
 def split_references(text: Column) -> Column:
     """Entries of a reference list: each begins with [n], n. or n) at a line's start."""
-    return F.filter(F.transform(F.split(text, r"\n(?=\s*(?:\[\d+\]|\d+[.)])\s)"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, r"\n(?=\s*(?:\[\d+\]|\d+[.)])\s)"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def first_year(date: Column) -> Column:
