@@ -30,6 +30,15 @@ def with_doc_columns(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in the one column of ids; all columns stay, whatever their names. Rows with a null doc_id stay."""
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = ids.toDF(name)
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
+
+
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:

@@ -157,8 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
 
     The flagged ids are joined as an anti join, which Spark broadcasts only below its own size threshold.
     """
-    flagged = find_overlaps(docs, benchmark, n).select(F.col("doc_id").alias("flagged_doc_id")).distinct()
-    return docs.join(flagged, docs["doc_id"].cast("bigint") == F.col("flagged_doc_id"), "left_anti")
+    return batches.without(docs, find_overlaps(docs, benchmark, n).select("doc_id").distinct())
 
 
 def overlaps_sql(n: int = NGRAM) -> str:

@@ -358,8 +358,8 @@ def drop_similar(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     nodes, pairs = _similar_nodes(docs, n, threshold, forest=True)
     joined = nodes.join(components(pairs.select("a", "b")), "node", "left").select(F.coalesce("component", "node").alias("component"), F.explode("ids").alias("doc_id"))
     first = joined.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count_distinct("doc_id").alias("n")).filter("n > 1")
-    gone = joined.join(first, "component").filter("doc_id <> first_id").select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("gone_doc_id"), "left_anti")
+    gone = joined.join(first, "component").filter("doc_id <> first_id").select("doc_id").distinct()
+    return batches.without(docs, gone)
 
 
 def similar_documents_sql(n: int = NGRAM, threshold: float = THRESHOLD) -> str:

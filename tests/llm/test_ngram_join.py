@@ -20,7 +20,7 @@ def corpus(seed, n):
     for _ in range(n):
         pick = rng.random()
         if pick < 0.3 and texts:
-            w = rng.choice(texts).split()
+            w = rng.choice(texts).split() or ["alone"]
             for _ in range(max(1, int(len(w) * rng.choice([0.0, 0.02, 0.05, 0.1, 0.2])))):
                 w[rng.randrange(len(w))] = rng.choice(["", "edit", "other thing"])
             texts.append(" ".join(w))
