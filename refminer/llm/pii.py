@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ TAGS = 1 + 2 * len(KINDS)
 OTHER, VOCABULARY = 128, 129
 HIDDEN = 16
 CORE, MARGIN = 256, 28
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Windows that are computed at a time, so that memory for states doesn't grow with a text.
+WINDOWS = 1024
 
 _STOP = "the and of to in is that for with de la que el en les des et un der die und das von zu".split()
 _SYLLABLES = (
@@ -298,10 +301,15 @@ class Tagger:
         first, end = np.maximum(core - MARGIN, bounds[row]), np.minimum(core_end + MARGIN, bounds[row + 1])
         order = np.argsort(first - end, kind="stable")
         core, core_end, first, end = core[order], core_end[order], first[order], end[order]
-        lengths = end - first
         out = np.empty((len(codes), TAGS), np.float32)
-        if not len(lengths):
-            return out
+        for k in range(0, len(core), WINDOWS):
+            some = slice(k, k + WINDOWS)
+            self._fill(out, codes, core[some], core_end[some], first[some], end[some])
+        return out
+
+    def _fill(self, out: np.ndarray, codes: np.ndarray, core: np.ndarray, core_end: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+        """Scores of the cores of windows in order of falling length."""
+        lengths = end - first
         steps = np.arange(int(lengths[0]))
         reach = np.searchsorted(-lengths, -steps, "left")
         last = len(codes) - 1
@@ -312,7 +320,6 @@ class Tagger:
         window = np.repeat(np.arange(len(n)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + core[window]
         out[at] = forward[at - first[window], :, window] + backward[end[window] - 1 - at, :, window] + self.bo
-        return out
 
     def decode(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Best tags of each row under the transitions."""
@@ -419,10 +426,10 @@ def mask_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for row, *span in _find(column, tagger):
                 by_row.setdefault(row, []).append((span[0], span[1], span[2]))
             if by_row:
-                texts = column.to_pylist()
-                for row, spans in by_row.items():
-                    texts[row] = mask_text(texts[row], spans)
-                column = pa.array(texts, column.type)
+                changed = np.zeros(len(column), bool)
+                changed[list(by_row)] = True
+                masked = [mask_text(column[row].as_py(), by_row[row]) for row in sorted(by_row)]
+                column = pc.replace_with_mask(column, pa.array(changed), pa.array(masked, column.type))
             yield pa.RecordBatch.from_arrays([column if name == "text" else part.column(k) for k, name in enumerate(columns)], columns)
 
     masked = docs.mapInArrow(replace, docs.schema)
