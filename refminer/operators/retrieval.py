@@ -118,3 +118,27 @@ def relevant_chunks(chunks: DataFrame, hits: DataFrame, key: str = "chunk_key",
     joined = chunks.join(found, key, "left")
     reason = F.when(F.col("kind") == "availability", F.lit("rule")).when(F.col("_hit"), F.lit("similar")).when(any_identifier(F.col("text"), source), F.lit("identifier"))
     return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_hit")
+
+
+def embed(rows: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
+    """rows with embedding: signed hashed counts of lower-cased words, of length 1; a text without words gives zeros, a null gives null.
+
+    A stand-in for a sentence model that needs no weights; any column of vectors of one length serves the search as well.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)),
+        lambda d: F.aggregate(F.filter(hashed, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)),
+    )
+    raw = rows.withColumn("_raw", F.when(F.col(text).isNotNull(), counts))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
+    return raw.withColumn("_norm", norm).withColumn("embedding", F.transform("_raw", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_raw", "_norm")
+
+
+def top_chunks(chunks: DataFrame, query: list[float], k: int, key: str = "key", chunk: str = "chunk_key") -> DataFrame:
+    """key, chunk, l2_sq and rank of the k chunks of each document that are nearest to the query; ties by chunk."""
+    distance = squared_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
+    scored = chunks.filter("embedding is not null").select(key, chunk, distance.alias("l2_sq"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("l2_sq", chunk))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -241,3 +241,17 @@ def word_frequency_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def cached_append(cache: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The cache with the rows of new whose key it lacks: insert if absent."""
     return cache.unionByName(new.join(cache.select(key), key, "left_anti").select(cache.columns))
+
+
+def without_running_lines(pages: DataFrame, top: int = 10, bottom: int = 10, share: float = 0.5) -> DataFrame:
+    """key and text of documents whose pages (key, page, text) lose their headers and footers: lines among the first or last
+    few of at least this share of a document's pages (two pages at least), and lines 'Page n'. Pages are joined in order."""
+    lines = pages.select("key", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line"), (F.size(F.split("text", "\n")) - 1).alias("last"))
+    trimmed = lines.withColumn("_l", F.trim("line"))
+    edge = trimmed.filter(((F.col("pos") < top) | (F.col("pos") > F.col("last") - bottom)) & (F.col("_l") != ""))
+    total = pages.groupBy("key").agg(F.count_distinct("page").alias("_pages"))
+    seen = edge.groupBy("key", "_l").agg(F.count_distinct("page").alias("_n")).join(total, "key").filter((F.col("_n") >= 2) & (F.col("_n") >= share * F.col("_pages"))).select("key", "_l")
+    at_edge = (F.col("pos") < top) | (F.col("pos") > F.col("last") - bottom)
+    marked = trimmed.join(seen.withColumn("_gone", F.lit(True)), ["key", "_l"], "left")
+    kept = marked.filter(~(F.coalesce("_gone", F.lit(False)) & at_edge) & ~F.col("_l").rlike(r"(?i)^page \d+$"))
+    return kept.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "pos", "line"))), lambda s: s["line"]), "\n").alias("text"))

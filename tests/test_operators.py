@@ -257,3 +257,16 @@ def test_ingestion_adds_nothing_twice(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text('{"source_url": "v", "text": "MSV6"}\nbroken\n')
     ingest.ingest(ingest.document_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted((r["source_url"], r["dataset_identifier"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("u", "GSE5"), ("v", "MSV6")]
+
+
+def test_embedding_and_top_chunks(spark):
+    chunks = spark.createDataFrame([("d", "1", "data are in GEO"), ("d", "2", "cells were grown"), ("d", "3", ""), ("e", "1", "Data are in geo!"), ("e", "2", None)], "key string, chunk_key string, text string")
+    vectors = {(r["key"], r["chunk_key"]): r["embedding"] for r in retrieval.embed(chunks, dims=16).collect()}
+    assert sum(x * x for x in vectors["d", "1"]) == pytest.approx(1) and vectors["d", "1"] == vectors["e", "1"] and vectors["d", "3"] == [0.0] * 16 and vectors["e", "2"] is None
+    top = retrieval.top_chunks(retrieval.embed(chunks, dims=16), vectors["d", "1"], 1).collect()
+    assert sorted((r["key"], r["chunk_key"], round(r["l2_sq"], 9)) for r in top) == [("d", "1", 0.0), ("e", "1", 0.0)]
+
+
+def test_running_lines_go(spark):
+    pages = spark.createDataFrame([("d", 1, "Journal\nfirst\nPage 1"), ("d", 2, "Journal\nsecond\nPage 2"), ("e", 1, "Journal\nonly")], "key string, page int, text string")
+    assert {r["key"]: r["text"] for r in tables.without_running_lines(pages).collect()} == {"d": "first\nsecond", "e": "Journal\nonly"}
