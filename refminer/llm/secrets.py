@@ -17,6 +17,13 @@ START = len(ALPHABET)
 MIN_LENGTH = 16
 #: Log-likelihood ratio, in nats, from which a string counts as random.
 MIN_RATIO = 12.0
+#: What an edge of a stretch costs, in nats, next to one of _-+/ outside it and elsewhere; at the ends of a run and next to = it is free.
+JOINT, INSIDE = 3.0, 8.0
+#: Characters whose scores are held as Python numbers at a time.
+BLOCK = 1 << 16
+#: Codes from here on are the signs _-+/=, which join strings.
+SIGNS = ALPHABET.index("_")
+PADDING = ALPHABET.index("=")
 
 _CODE = np.full(256, -1, np.int64)
 for _k, _c in enumerate(ALPHABET):
@@ -107,10 +114,90 @@ def ratios(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, min_length:
     return np.searchsorted(offsets, first, "right") - 1, first, end, value
 
 
+def stretches(codes: np.ndarray, model: np.ndarray, min_length: int, min_ratio: float) -> list[tuple[int, int, float]]:
+    """(first, end, log-likelihood ratio) of the stretches of a run without = that look random: of all sets of disjoint
+    stretches of at least min_length, the one with the greatest sum of ratio - min_ratio - cost of both edges."""
+    n = len(codes)
+    if n < min_length:
+        return []
+    step = np.zeros(n)
+    step[1:] = model[codes[:-1], codes[1:]]
+    total = np.concatenate([[0.0], np.cumsum(step)])
+    enter = model[START, codes] - total[1:]  # a stretch from i to j has the ratio enter[i] + total[j]
+    sign = codes >= SIGNS
+    enter_cost, leave_cost = np.zeros(n), np.zeros(n)
+    enter_cost[1:] = np.where(sign[:-1], JOINT, INSIDE)
+    leave_cost[:-1] = np.where(sign[1:], JOINT, INSIDE)
+    shortest = np.full(n, -np.inf)  # the gain of the shortest stretch that ends here
+    shortest[min_length - 1 :] = (enter - enter_cost)[: n - min_length + 1] + total[min_length:] - min_ratio
+    opened = np.full(n + 1, -1)
+    recent = [0.0] * min_length  # the best sums up to each of the last min_length places
+    best, inside, since, j = 0.0, -np.inf, 0, 0
+    for block in range(0, n, BLOCK):
+        part = slice(block, block + BLOCK)
+        for more, first, cost in zip(step[part].tolist(), shortest[part].tolist(), leave_cost[part].tolist(), strict=True):
+            j += 1
+            inside += more
+            value = recent[j % min_length] + first
+            if value > inside:
+                inside, since = value, j - min_length
+            if inside - cost >= best:
+                best = inside - cost
+                opened[j] = since
+            recent[j % min_length] = best
+    out, j = [], n
+    while j > 0:
+        i = int(opened[j])
+        if i >= 0:
+            out.append((i, j, float(enter[i] + total[j])))
+        j = i if i >= 0 else j - 1
+    return out[::-1]
+
+
+def in_run(codes: np.ndarray, whole: float, model: np.ndarray, min_length: int, min_ratio: float) -> list[tuple[int, int, float]]:
+    """The stretches of a run that look random, = only after them, as padding; the run itself if it does and no stretch of it."""
+    out = []
+    begin, n = 0, len(codes)
+    for cut in [*np.flatnonzero(codes == PADDING).tolist(), n]:
+        for first, end, value in stretches(codes[begin:cut], model, min_length, min_ratio):
+            end += begin
+            if end == cut and n - end <= 2 and (codes[end:] == PADDING).all():
+                end = n
+            out.append((begin + first, end, value))
+        begin = cut + 1
+    return out or ([(0, n, whole)] if whole >= min_ratio else [])
+
+
+def find(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, min_length: int, min_ratio: float) -> list[tuple[int, int, int, float]]:
+    """(row, first byte, end byte, log-likelihood ratio) of all stretches that look random, in order."""
+    row, first, end, whole = ratios(data, offsets, model, min_length)
+    if not len(first):
+        return []
+    # the greatest ratio of any stretch of each run, edges free: most runs have none that is high enough
+    lengths = end - first
+    starts = np.cumsum(lengths) - lengths
+    run = np.repeat(np.arange(len(first)), lengths)
+    at = np.arange(len(run)) - starts[run] + first[run]
+    codes = _CODE[data[at]]
+    steps = np.zeros(len(at))
+    steps[1:] = model[codes[:-1], codes[1:]]
+    total = np.cumsum(steps)
+    before = total - model[START, codes]
+    below = run * (np.ptp(total) + np.ptp(before) + abs(total[0] - before[0]) + 1)  # the least of one run lies under all of the run before
+    least = np.minimum.accumulate(before - below) + below
+    most = np.maximum.reduceat(total - least, starts)
+    out = []
+    for k in np.flatnonzero((most >= min_ratio - 1e-3) | (whole >= min_ratio)).tolist():
+        a = int(first[k])
+        out += [(int(row[k]), a + i, a + j, v) for i, j, v in in_run(codes[starts[k] : starts[k] + lengths[k]], float(whole[k]), model, min_length, min_ratio)]
+    return out
+
+
 def scan_secrets(docs: DataFrame, model: np.ndarray | None = None, min_length: int = MIN_LENGTH, min_ratio: float = MIN_RATIO) -> DataFrame:
     """One row per string that looks random: doc_id, start and end (characters of the text, end excluded), log_ratio.
 
-    Strings are maximal runs of letters, digits and _-+/= of at least min_length characters, over the whole text. Null and
+    Strings are stretches, of at least min_length characters, of the maximal runs of letters, digits and _-+/=, over the
+    whole text; what a key is joined to (NAME=, a path) doesn't count against it, and one run may have several. Null and
     empty texts have none; a null doc_id stays null; repeated rows each give their rows; other columns are ignored.
     """
     table = default_model() if model is None else model
@@ -121,9 +208,7 @@ def scan_secrets(docs: DataFrame, model: np.ndarray | None = None, min_length: i
             data, offsets = batches.text_buffers(part.column("text"))
             rows, starts, ends, values = [], [], [], []
             for top, _, chunk, offs in batches.chunks(data, offsets):
-                row, first, end, value = ratios(chunk, offs, table, min_length)
-                hit = value >= min_ratio
-                for r, a, b, v in zip(row[hit].tolist(), first[hit].tolist(), end[hit].tolist(), value[hit].tolist(), strict=True):
+                for r, a, b, v in find(chunk, offs, table, min_length, min_ratio):
                     begin = int(np.count_nonzero((chunk[offs[r] : a] & 0xC0) != 0x80))
                     rows.append(top + r)
                     starts.append(begin)

@@ -116,3 +116,45 @@ def test_secrets_on_held_out_samples(make_docs):
     random_ones = [k for k, s in enumerate(samples) if s[1]]
     assert sum(found.get(k) == samples[k][0] for k in random_ones) > 0.97 * len(random_ones)
     assert len(set(found) - set(random_ones)) < 0.02 * len(samples)
+
+
+def test_secrets_joined_to_text_are_found(make_docs):
+    rng = random.Random(21)
+    upper, base64, hexadecimal = secrets.ALPHABET[26:62], secrets.ALPHABET[:62] + "+/", "0123456789abcdef"
+    before = ["api_key=", "database_password=", "export_production_database_password=", "/home/users/service/config/production/credentials/"]
+    for alphabet, n, least in ((upper, 20, 0.85), (base64, 40, 0.9), (hexadecimal, 32, 0.9)):
+        for prefix in before:
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(100)]
+            texts = [f"{prose(rng, 5)} {prefix}{key} {prose(rng, 5)}" for key in keys]
+            found = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in secrets.scan_secrets(make_docs(texts)).collect()}
+            assert sum(found.get(k) == key for k, key in enumerate(keys)) > least * len(keys), (prefix, n)
+    keys = ["".join(rng.choices(base64[:62], k=38)) for _ in range(40)]
+    texts = [f"é {a}/the_second_production_credentials_directory=" + b + "==" for a, b in zip(keys[::2], keys[1::2], strict=True)]
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in secrets.scan_secrets(make_docs(texts)).collect()}
+    assert len(found & {(k // 2, key + "==" * (k % 2)) for k, key in enumerate(keys)}) > 0.9 * len(keys)
+    plain = [f"{prefix}{value}" for prefix in before for value in ("correct_horse_battery_staple", "main/source/file_names", "20241231", "")]
+    assert secrets.scan_secrets(make_docs(plain)).count() == 0
+
+
+def test_secret_stretches_equal_brute_force():
+    rng = random.Random(22)
+    model = secrets.default_model()
+    for _ in range(60):
+        text = "".join("".join(rng.choices(rng.choice(["ab_/", secrets.ALPHABET[26:62], "theionsr"]), k=rng.randint(1, 9))) for _ in range(rng.randint(1, 5)))
+        codes = secrets._CODE[list(text.encode())]
+        n = len(codes)
+
+        def ratio(i, j, codes=codes):
+            return model[secrets.START, codes[i]] + sum(model[codes[k - 1], codes[k]] for k in range(i + 1, j))
+
+        def gain(i, j, text=text, n=n):
+            edges = sum(0 if outer is None else secrets.JOINT if outer in "_-+/" else secrets.INSIDE for outer in (text[i - 1] if i else None, text[j] if j < n else None))
+            return ratio(i, j) - 2.0 - edges
+
+        best = [0.0]
+        for j in range(1, n + 1):
+            best.append(max([best[j - 1]] + [best[i] + gain(i, j) for i in range(j - 3)]))
+        found = secrets.stretches(codes, model, 4, 2.0)
+        assert abs(sum(gain(i, j) for i, j, _ in found) - best[n]) < 1e-9
+        assert all(j - i >= 4 and abs(v - ratio(i, j)) < 1e-9 for i, j, v in found)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
