@@ -3,7 +3,8 @@
 Each template is fingerprinted: hashes of all runs of K words, of which the least of every WINDOW neighbours is kept
 (winnowing), in an inverted index hash -> (template, place). All runs of K words of a document are looked up, so any
 stretch of K + WINDOW - 1 words that it shares with a template is found. Hits of one template on near diagonals make a
-candidate; a local alignment of the template with the document, in a band around them, gives matched words and span.
+candidate; a local alignment of the template with the document, in a band around them, gives matched words and span. To
+the left and right of each alignment the search goes on until none covers enough of the template.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def align(template: list[int], doc: list[int], low: int, high: int) -> tuple[int
 class TemplateIndex:
     names: list[str] = field(default_factory=list)
     words: list[list[int]] = field(default_factory=list)
+    grams: list[set[tuple[int, ...]]] = field(default_factory=list)
 
     @classmethod
     def compile(cls, templates: dict[str, str], k: int = K, window: int = WINDOW) -> TemplateIndex:
@@ -140,6 +142,7 @@ class TemplateIndex:
             self.words.append((np.searchsorted(self.vocabulary, own) + 1).tolist())
             grams, _ = batches.ngrams(own, np.array([0, len(own)]), k)
             at = winnow(grams, window)
+            self.grams.append({tuple(self.words[-1][i : i + k]) for i in at.tolist()})
             prints.append(grams[at])
             owner.append(np.full(len(at), t))
             place.append(at)
@@ -174,43 +177,95 @@ class TemplateIndex:
         return np.repeat(at, n), self.owner[which], self.place[which]
 
 
+def occurrences(index: TemplateIndex, t: int, window: list[int], low: int, high: int, min_coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of the best alignment of template t within low <= place - template place <= high, then of
+    the best ones to the left and right of each, as far as they cover enough; a part without a fingerprint has none."""
+    template, grams = index.words[t], index.grams[t]
+    own, need = set(template), min_coverage * len(template)
+    out, parts = [], [(0, len(window))]
+    while parts:
+        a, b = parts.pop()
+        part = window[a:b]
+        if sum(w in own for w in part) < need or not any(g in grams for g in zip(*(part[d:] for d in range(K)), strict=False)):
+            continue
+        matched, _, first, end = align(template, part, low - a, high - a)
+        if matched and matched >= need:
+            out.append((matched, a + first, a + end))
+            parts += [(a, a + first), (a + end, b)]
+    return out
+
+
+def spans(diagonals: list[int], size: int, band: int) -> list[tuple[int, int]]:
+    """Least and greatest diagonal of the windows in which a template of size words is searched.
+
+    Diagonals within band of the one before make a group. An alignment drifts by less than 2 x size, as each step costs 1
+    and a match gives 2, so a longer group is searched in windows of 4 x size, each overlapping half of the one before.
+    """
+    out: list[tuple[int, int]] = []
+    k = 0
+    while k < len(diagonals):
+        last = k
+        while last + 1 < len(diagonals) and diagonals[last + 1] - diagonals[last] <= band:
+            last += 1
+        low, high = diagonals[k], diagonals[last]
+        while high - low > 4 * size:
+            out.append((low, low + 4 * size))
+            low += 2 * size
+        out.append((low, high))
+        k = last + 1
+    return out
+
+
 def find_in_row(index: TemplateIndex, known: np.ndarray, hits: list[tuple[int, int, int]], band: int, min_coverage: float, memo: dict) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matched words, first, end) in one document of word numbers known; overlapping finds give way to
-    the one with more matched words, then the higher coverage, then the template listed first."""
-    finds = set()
-    by_template: dict[int, list[tuple[int, int]]] = {}
-    for at, t, place in hits:
-        by_template.setdefault(t, []).append((at - place, at))
-    for t, listed in by_template.items():
-        size = len(index.words[t])
-        groups: list[list[int]] = []  # least and greatest diagonal, of hits in order of the diagonal
-        for diagonal, _ in sorted(listed):
-            if groups and diagonal - groups[-1][1] <= band:
-                groups[-1][1] = diagonal
-            else:
-                groups.append([diagonal, diagonal])
-        for low, high in groups:
-            left = max(0, low - band)
-            window = known[left : high + band + size].tolist()
-            key = (t, low - left - band, high - left + band, *window)
-            found = memo.get(key)
-            if found is None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                found = memo[key] = align(index.words[t], window, low - left - band, high - left + band)
-            matched, _, first, end = found
-            if matched >= min_coverage * size:
-                finds.add((-matched, -matched / size, t, left + first, left + end))
+    the one with more matched words, then the higher coverage, then the template listed first. What is left free where finds
+    gave way is searched again."""
     out: list[tuple[int, float, int, int, int]] = []
     taken: list[tuple[int, int]] = []
-    for matched, coverage, t, first, end in sorted(finds):
-        at = bisect(taken, (first, end))
-        if (not at or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= end):
-            taken.insert(at, (first, end))
-            out.append((t, -coverage, -matched, first, end))
+    while hits:
+        by_part: dict[tuple[int, int, int], set[int]] = {}  # diagonals by template and free part of the document
+        for at, t, place in hits:
+            n = bisect(taken, (at, len(known)))
+            begin, stop = taken[n - 1][1] if n else 0, taken[n][0] if n < len(taken) else len(known)
+            if begin <= at and at + K <= stop:
+                by_part.setdefault((t, begin, stop), set()).add(at - place)
+        finds = set()
+        for (t, begin, stop), diagonals in by_part.items():
+            size = len(index.words[t])
+            for low, high in spans(sorted(diagonals), size, band):
+                left = max(begin, low - band)
+                window = known[left : min(stop, high + band + size)].tolist()
+                key = (t, low - left - band, high - left + band, *window)
+                found = memo.get(key)
+                if found is None:
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    found = memo[key] = occurrences(index, t, window, low - left - band, high - left + band, min_coverage)
+                finds.update((-matched, -matched / size, t, left + first, left + end) for matched, first, end in found)
+        gave_way = []
+        for matched, coverage, t, first, end in sorted(finds):
+            at = bisect(taken, (first, end))
+            if (not at or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (first, end))
+                out.append((t, -coverage, -matched, first, end))
+            else:
+                gave_way.append((first, end))
+        hits = near(hits, gave_way, 3 * max(map(len, index.words)) + band) if gave_way else []
     return out
 
 
+def near(hits: list[tuple[int, int, int]], places: list[tuple[int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """The hits at most reach words away from one of places."""
+    merged: list[list[int]] = []
+    for first, end in sorted(places):
+        if merged and first - reach <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end + reach)
+        else:
+            merged.append([first - reach, end + reach])
+    starts = [m[0] for m in merged]
+    return [h for h in hits if (n := bisect(starts, h[0])) and h[0] <= merged[n - 1][1]]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> DataFrame:
     """One row per license found in a document: doc_id, license, coverage (matched words over words of the template),
     matched_words, start and end (characters of the text, end excluded).
@@ -237,8 +292,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
                     r = int(row[a])
                     base, text = int(bounds[r]), offs[r]
                     listed = list(zip((at[a:b] - base).tolist(), template[a:b].tolist(), place[a:b].tolist(), strict=True))
-                    for t, coverage, matched, first, stop in find_in_row(index, known[base : bounds[r + 1]], listed, band, min_coverage, memo):
-                        chars = [int(np.count_nonzero((chunk[text:x] & 0xC0) != 0x80)) for x in (start[base + first], end[base + stop - 1])]
+                    found = find_in_row(index, known[base : bounds[r + 1]], listed, band, min_coverage, memo)
+                    letters = np.flatnonzero((chunk[text : offs[r + 1]] & 0xC0) != 0x80) if found else []  # first byte of each character
+                    for t, coverage, matched, first, stop in found:
+                        chars = np.searchsorted(letters, [start[base + first] - text, end[base + stop - 1] - text]).tolist()
                         out.append((top + r, index.names[t], coverage, matched, *chars))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

@@ -74,6 +74,40 @@ def test_licenses_equal_full_alignment(make_docs):
     assert len(index.names) == len(names)
 
 
+def test_repeated_notices_equal_brute_force(make_docs):
+    rng = random.Random(31)
+
+    def brute(template, doc, at=0):
+        matched, _, first, end = license_scan.align(template, doc, -len(template), len(doc))
+        if matched < license_scan.MIN_COVERAGE * len(template):
+            return []
+        return [*brute(template, doc[:first], at), (at + first, at + end), *brute(template, doc[end:], at + end)]
+
+    for name, most in (("All-rights-reserved", 60), ("CC-BY-4.0-notice", 60), ("CC-BY-4.0", 30), ("ISC", 8)):
+        body = license_scan.TEMPLATES[name]
+        texts = [("%s\n" % body) * most]
+        for gap in (1, 4, 11, 30):
+            texts.append("é " + "".join(f"{body} {prose(rng, rng.randint(0, gap))}\n" for _ in range(rng.randint(2, most))))
+        found = {}
+        for r in license_scan.scan_licenses(make_docs(texts), {name: body}).collect():
+            found.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start : r.end])
+        for k, text in enumerate(texts):
+            numbers = {w: n for n, w in enumerate(dict.fromkeys(words(body) + words(text)))}
+            template, doc = [[numbers[w] for w in words(x)] for x in (body, text)]
+            spans = brute(template, doc)
+            assert len(spans) == text.count(body)
+            assert [words(x) for x in sorted(found[k])] == sorted(words(text)[a:b] for a, b in spans), (name, k)
+
+
+def test_notices_of_several_kinds_in_one_list(make_docs):
+    rng = random.Random(32)
+    names = ["MIT-notice-2", "CC-BY-4.0-notice", "All-rights-reserved", "Apache-2.0-notice", "GPL-3.0-notice"]
+    order = [rng.choice(names) for _ in range(3000)]
+    text = "\n".join(license_scan.TEMPLATES[name] for name in order)
+    found = sorted((r.start, r.license) for r in license_scan.scan_licenses(make_docs([text])).collect())
+    assert [name for _, name in found] == order
+
+
 def test_winnowing_keeps_one_of_every_window():
     import numpy as np
 
