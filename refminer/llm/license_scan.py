@@ -23,6 +23,8 @@ K = 3
 WINDOW = 2
 BAND = 12
 MIN_COVERAGE = 0.8
+#: Templates of fewer words must match in all words, unless NAMES has what tells them apart.
+SHORT = 10
 
 _MIT_BODY = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -58,6 +60,11 @@ TEMPLATES: dict[str, str] = {
     "MIT": _MIT_BODY,
     "MIT-notice": "Released under the MIT License.",
     "MIT-notice-2": "Licensed under the MIT License.",
+    "BSD-notice": "Released under the BSD License.",
+    "BSD-notice-2": "Licensed under the BSD License.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "ISC-notice": "Licensed under the ISC License.",
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
     "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -75,6 +82,9 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
@@ -86,6 +96,28 @@ TEMPLATES: dict[str, str] = {
     "All-rights-reserved": "All rights reserved.",
 }
 
+#: What a find of these notices must contain, phrase by phrase: the license's name and version.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT-notice": ("MIT",),
+    "MIT-notice-2": ("MIT",),
+    "BSD-notice": ("BSD",),
+    "BSD-notice-2": ("BSD",),
+    "BSD-2-Clause-notice": ("BSD 2",),
+    "BSD-3-Clause-notice": ("BSD 3",),
+    "ISC-notice": ("ISC",),
+    "Apache-2.0-notice": ("Apache", "2.0"),
+    "GPL-3.0-notice": ("GNU General Public", "3"),
+    "GPL-2.0-notice": ("GNU General Public", "2"),
+    "AGPL-3.0-notice": ("Affero", "3"),
+    "LGPL-3.0-notice": ("Lesser", "3"),
+    "MPL-2.0-notice": ("Mozilla", "2.0"),
+    "CC-BY-4.0": ("Attribution 4.0",),
+    "CC-BY-SA-4.0": ("Attribution-ShareAlike 4.0",),
+    "CC-BY-4.0-notice": ("BY 4.0",),
+    "CC-BY-SA-4.0-notice": ("BY-SA 4.0",),
+    "CC-BY-NC-4.0-notice": ("BY-NC 4.0",),
+}
+
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """The places of the least hash (the rightmost of equals) of every window."""
@@ -121,11 +153,16 @@ def align(template: list[int], doc: list[int], low: int, high: int) -> tuple[int
     return best
 
 
+def contains(words: list[int], phrase: list[int]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
 @dataclass
 class TemplateIndex:
     names: list[str] = field(default_factory=list)
     words: list[list[int]] = field(default_factory=list)
     grams: list[set[tuple[int, ...]]] = field(default_factory=list)
+    phrases: list[list[list[int]]] = field(default_factory=list)
 
     @classmethod
     def compile(cls, templates: dict[str, str], k: int = K, window: int = WINDOW) -> TemplateIndex:
@@ -146,6 +183,12 @@ class TemplateIndex:
             prints.append(grams[at])
             owner.append(np.full(len(at), t))
             place.append(at)
+            phrases = []
+            for phrase in NAMES.get(name, ()):
+                _, _, own, _ = batches.words(*batches.text_buffers(pa.array([phrase], pa.large_string())))
+                if np.isin(own, self.vocabulary).all():
+                    phrases.append((np.searchsorted(self.vocabulary, own) + 1).tolist())
+            self.phrases.append([p for p in phrases if contains(self.words[-1], p)])
         order = np.argsort(np.concatenate(prints), kind="stable")
         self.prints = np.concatenate(prints)[order]
         self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
@@ -179,9 +222,12 @@ class TemplateIndex:
 
 def occurrences(index: TemplateIndex, t: int, window: list[int], low: int, high: int, min_coverage: float) -> list[tuple[int, int, int]]:
     """(matched words, first, end) of the best alignment of template t within low <= place - template place <= high, then of
-    the best ones to the left and right of each, as far as they cover enough; a part without a fingerprint has none."""
-    template, grams = index.words[t], index.grams[t]
+    the best ones to the left and right of each, as far as they cover enough; a part without a fingerprint has none. Of those
+    that lack a phrase of the license's name none counts; a short template without such phrases must match in all words."""
+    template, grams, phrases = index.words[t], index.grams[t], index.phrases[t]
     own, need = set(template), min_coverage * len(template)
+    if len(template) < SHORT and not phrases:
+        need = len(template)
     out, parts = [], [(0, len(window))]
     while parts:
         a, b = parts.pop()
@@ -190,7 +236,8 @@ def occurrences(index: TemplateIndex, t: int, window: list[int], low: int, high:
             continue
         matched, _, first, end = align(template, part, low - a, high - a)
         if matched and matched >= need:
-            out.append((matched, a + first, a + end))
+            if all(contains(part[first:end], p) for p in phrases):
+                out.append((matched, a + first, a + end))
             parts += [(a, a + first), (a + end, b)]
     return out
 
@@ -270,7 +317,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     """One row per license found in a document: doc_id, license, coverage (matched words over words of the template),
     matched_words, start and end (characters of the text, end excluded).
 
-    All of every text is searched. Null and empty texts have no row, a null doc_id stays null, repeated rows each give
+    All of every text is searched. A find covers min_coverage of its template and, where NAMES lists them, has the license's
+    name and version; a template of fewer than SHORT words without these must match in all words. Null and empty texts have no row, a null doc_id stays null, repeated rows each give
     their rows, other columns are ignored. The compiled templates are sent along with the function; they don't depend on
     the corpus.
     """

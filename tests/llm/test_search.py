@@ -108,6 +108,28 @@ def test_notices_of_several_kinds_in_one_list(make_docs):
     assert [name for _, name in found] == order
 
 
+def test_notices_need_the_name_of_their_license(make_docs):
+    cases = {
+        "Released under the BSD License": ["BSD-notice"],
+        "Licensed under the Mozilla License": [],
+        "Licensed under the Mozilla Public License, version 2.0": ["MPL-2.0-notice"],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under Apache License, Version 2.0.": ["Apache-2.0-notice"],
+        "Licensed under CC BY 3.0.": [],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-notice"],
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": [],
+        "Released under the terms of the MIT License": ["MIT-notice"],
+        "Licensed under the Mozilla License. Licensed under the MIT License.": ["MIT-notice-2"],
+    }
+    found = {}
+    for r in license_scan.scan_licenses(make_docs(list(cases))).collect():
+        found.setdefault(r.doc_id, []).append(r.license)
+    assert [found.get(k, []) for k in range(len(cases))] == list(cases.values())
+    rare = {"Rare": "Given away under the Rare License."}
+    assert [r.doc_id for r in license_scan.scan_licenses(make_docs(["Given away under the Other License.", rare["Rare"]]), rare).collect()] == [1]
+
+
 def test_winnowing_keeps_one_of_every_window():
     import numpy as np
 
