@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refminer.llm.storage import cut
+
 #: At most so many labelled URLs are fitted on, those with the smallest hashes.
 MAX_LABELLED = 20_000
 TREES = 60
@@ -18,6 +20,11 @@ DEPTH = 3
 RATE = 0.15
 BINS = 32
 MIN_PROBABILITY = 0.5
+#: Labelled URLs of the mean label that every suffix and extension has besides its own.
+PRIOR = 10
+#: Statistics of at most so many suffixes and extensions are broadcast; more are joined by shuffling.
+BROADCAST_KEYS = 100_000
+STATISTICS = "suffix_rate suffix_share extension_rate extension_share".split()
 
 NAMES = (
     "length host_length path_length depth host_labels digits digit_ratio letters_ratio upper_ratio symbol_ratio entropy host_entropy path_entropy "
@@ -72,7 +79,11 @@ class UrlModel:
     cut: np.ndarray
     leaf: np.ndarray
 
-    def matrix(self, urls: list[str]) -> np.ndarray:
+    def matrix(self, urls: list[str], statistics: np.ndarray | None = None) -> np.ndarray:
+        """The features; statistics (columns STATISTICS) stand in for those of the training URLs."""
+        if statistics is not None:
+            known = np.array([lexical(url) for url in urls], np.float64).reshape(len(urls), len(NAMES) - len(STATISTICS))
+            return np.concatenate([known, statistics], axis=1)
         rate = 1 / (1 + np.exp(-self.base))
         rows = []
         for url in urls:
@@ -80,8 +91,8 @@ class UrlModel:
             rows.append([*lexical(url), *self.suffix.get(tail, (rate, 0.0)), *self.extension.get(extension, (rate, 0.0))])
         return np.array(rows, np.float64).reshape(len(urls), len(NAMES))
 
-    def probability(self, urls: list[str]) -> np.ndarray:
-        x = self.matrix(urls)
+    def probability(self, urls: list[str], statistics: np.ndarray | None = None) -> np.ndarray:
+        x = self.matrix(urls, statistics)
         total = np.full(len(urls), self.base)
         rows = np.arange(len(urls))
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
@@ -96,18 +107,18 @@ def _statistics(keys: list[str], labels: np.ndarray, rate: float) -> dict[str, t
     """Smoothed share of label 1 and share of all URLs, by key."""
     names, inverse = np.unique(np.array(keys, object).astype(str), return_inverse=True)
     n, good = np.bincount(inverse), np.bincount(inverse, labels)
-    return {str(k): ((g + 10 * rate) / (c + 10), c / len(labels)) for k, c, g in zip(names, n.tolist(), good.tolist(), strict=True)}
+    return {str(k): ((g + PRIOR * rate) / (c + PRIOR), c / len(labels)) for k, c, g in zip(names, n.tolist(), good.tolist(), strict=True)}
 
 
-def fit(urls: list[str], labels: np.ndarray, trees: int = TREES, rate: float = RATE, l2: float = 1.0) -> UrlModel:
-    """Second-order boosting of the logistic loss over binned features."""
+def fit(urls: list[str], labels: np.ndarray, trees: int = TREES, rate: float = RATE, l2: float = 1.0, statistics: np.ndarray | None = None) -> UrlModel:
+    """Second-order boosting of the logistic loss over binned features; statistics as in UrlModel.matrix."""
     y = np.asarray(labels, np.float64)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     pairs = [suffixes(u) for u in urls]
     base = float(np.log(share / (1 - share)))
     inner = 2**DEPTH - 1
     model = UrlModel(_statistics([p[0] for p in pairs], y, share), _statistics([p[1] for p in pairs], y, share), base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
-    x = model.matrix(urls)
+    x = model.matrix(urls, statistics)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     total = np.full(len(y), base)
@@ -152,28 +163,78 @@ def label_by_document(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(rated, "doc_id").select("url", "label")
 
 
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> UrlModel | None:
-    """labelled has url and label (0 or 1); rows with a null are left out. None if nothing is left."""
-    chosen = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna()
-    rows = chosen.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled).collect()
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows])) if rows else None
-
+def _with_keys(urls: DataFrame) -> DataFrame:
+    """urls with the columns suffix and extension of its column url; a null url has two nulls."""
+    columns = urls.columns
 
-def filter_urls(pages: DataFrame, model: UrlModel | None, id_column: str = "page_id", min_probability: float = MIN_PROBABILITY) -> DataFrame:
+    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            pairs = [suffixes(u) if u else (None, None) for u in part.column("url").to_pylist()]
+            keys = [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *keys], [*columns, "suffix", "extension"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
+    return urls.mapInArrow(split, f"{fields}, suffix string, extension string")
+
+
+def corpus_statistics(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """kind (suffix or extension), key, share of all URLs of pages, and rate, the smoothed share of label 1 of all labelled
+    URLs; every row counts, null and empty URLs don't. It is kept in the checkpoint folder."""
+    url = F.col("url").cast("string")
+    every = pages.select(url.alias("url"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("label"))
+    rated = labelled.select(url.alias("url"), F.lit(0).alias("n"), F.col("label").cast("int").alias("label")).filter("label is not null")
+    kinds = F.expr("stack(2, 'suffix', suffix, 'extension', extension) as (kind, key)")
+    counts = _with_keys(every.unionByName(rated).filter("url <> ''")).select("n", "label", kinds).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("label").alias("rated"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"))
+    counts = cut(counts)
+    total = counts.filter("kind = 'suffix'").agg(F.sum("n"), F.sum("rated"), F.sum("good")).first()
+    n, mean = max(total[0] or 0, 1), (total[2] / total[1] if total[1] else 0.5)
+    return counts.select("kind", "key", (F.col("n") / n).alias("share"), ((F.col("good") + PRIOR * mean) / (F.col("rated") + PRIOR)).alias("rate"))
+
+
+def _with_statistics(urls: DataFrame, statistics: DataFrame) -> DataFrame:
+    """urls with the columns STATISTICS."""
+    small = statistics.count() <= BROADCAST_KEYS
+    out = _with_keys(urls)
+    for kind in ("suffix", "extension"):
+        part = statistics.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("rate").alias(f"{kind}_rate"), F.col("share").alias(f"{kind}_share"))
+        out = out.join(F.broadcast(part) if small else part, kind, "left")
+    return out.select(*urls.columns, *STATISTICS)
+
+
+def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, statistics: DataFrame | None = None) -> UrlModel | None:
+    """labelled has url and label (0 or 1); rows with a null are left out, a URL counts once, with its least label. None if
+    nothing is left. statistics are those of corpus_statistics; without them the chosen URLs' own are used."""
+    chosen = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna().groupBy("url").agg(F.min("label").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    if statistics is None:
+        rows = chosen.collect()
+        return fit([r[0] for r in rows], np.array([r[1] for r in rows])) if rows else None
+    rows = sorted(_with_statistics(chosen, statistics).collect())
+    found = np.array([[np.nan if v is None else v for v in r[2:]] for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
+    return fit([r[0] for r in rows], np.array([r[1] for r in rows]), statistics=np.nan_to_num(found)) if rows else None
+
+
+def filter_urls(pages: DataFrame, model: UrlModel | None, id_column: str = "page_id", min_probability: float = MIN_PROBABILITY, statistics: DataFrame | None = None) -> DataFrame:
     """id_column, url, probability (of label 1) and keep of every row of pages.
 
     A null or empty url has probability 0 and is not kept. Without a model the probability is null and every URL is kept.
-    Repeated rows are judged each for itself, other columns are neither read nor returned.
+    Repeated rows are judged each for itself, other columns are neither read nor returned. statistics are those that the
+    model was trained with, if any.
     """
     kind = pages.schema[id_column].dataType.simpleString()
     source = pages.select(F.col(id_column), F.col("url").cast("string").alias("url"))
     if model is None:
         return source.select("*", F.lit(None).cast("double").alias("probability"), (F.length(F.coalesce("url", F.lit(""))) > 0).alias("keep"))
 
+    counted = statistics is not None
+
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             urls = [u or "" for u in part.column("url").to_pylist()]
-            p = np.where([bool(u) for u in urls], model.probability(urls), 0.0)
+            known = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS], axis=1) if counted else None
+            p = np.where([bool(u) for u in urls], model.probability(urls, known), 0.0)
             yield pa.RecordBatch.from_arrays([part.column(id_column), part.column("url"), pa.array(p, pa.float64()), pa.array(p >= min_probability)], [id_column, "url", "probability", "keep"])
 
+    if statistics is not None:
+        source = _with_statistics(source, statistics)
     return source.mapInArrow(judge, f"`{id_column}` {kind}, url string, probability double, keep boolean")

@@ -137,3 +137,26 @@ def test_urls_are_labelled_by_their_document(spark):
     pages = spark.createDataFrame([("http://a.example/en/12?x=1",), ("http://a.example/7.html",), ("http://a.example/7/",), ("http://a.example/none",), (None,), ("http://a.example/99999999999999999999",)], "url string")
     labels = spark.createDataFrame([(12, 1, 0), (7, 1, 1), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert sorted(map(tuple, url_filter.label_by_document(pages, labels).collect())) == [("http://a.example/7.html", 0), ("http://a.example/7/", 0), ("http://a.example/en/12?x=1", 1)]
+
+
+def test_url_statistics_cover_all_pages(spark):
+    urls = ["http://a.example/1.html"] * 30 + [f"http://b{k}.rare/{k}.php" for k in range(10)] + ["http://c.unrated/x", None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labelled = spark.createDataFrame([("http://a.example/1.html", 1)] * 30 + [(u, k % 2) for k, u in enumerate(urls[30:40])], "url string, label int")
+    statistics = url_filter.corpus_statistics(pages, labelled)
+    got = {(r.kind, r.key): (r.share, r.rate) for r in statistics.collect()}
+    mean = 35 / 40
+    want = {("suffix", "example"): (30 / 41, (30 + 10 * mean) / 40), ("suffix", "rare"): (10 / 41, (5 + 10 * mean) / 20), ("suffix", "unrated"): (1 / 41, mean), ("extension", "html"): (30 / 41, (30 + 10 * mean) / 40), ("extension", "php"): (10 / 41, (5 + 10 * mean) / 20), ("extension", ""): (1 / 41, mean)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    model = url_filter.train(labelled, max_labelled=5, statistics=statistics)
+    judged = url_filter.filter_urls(pages, model, statistics=statistics)
+    assert judged.columns == ["page_id", "url", "probability", "keep"] and judged.count() == len(urls)
+    assert [r.keep for r in judged.collect() if not r.url] == [False, False]
+
+
+def test_repeated_urls_fill_no_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(url_filter, "fit", lambda urls, labels, **_: seen.append((sorted(urls), sorted(labels.tolist()))))
+    urls = [f"http://a.example/{k}" for k in range(6)]
+    url_filter.train(spark.createDataFrame([(u, k % 2) for k, u in enumerate(urls) for _ in range(50)], "url string, label int"), max_labelled=6)
+    assert seen == [(urls, [0, 0, 0, 1, 1, 1])]
