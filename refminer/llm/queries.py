@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from refminer.llm.decontamination import find_overlaps, overlaps_sql
 from refminer.llm.license_scan import scan_licenses
@@ -31,7 +32,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(count_tokens(table(spark, sf_dir, "documents")), length=F.col("n_tokens"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

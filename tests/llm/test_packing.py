@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from refminer.llm import queries, token_counts
 from refminer.llm.packing import best_fill, minimum_bin_slack, pack_documents
 
 
@@ -55,3 +56,15 @@ def test_documents_are_covered_without_gap(make_docs):
             at += tokens
         assert at <= 32
     assert sum(sizes) / (32 * len(windows)) > 0.97
+
+
+def test_query_packs_tokens(spark, make_docs, tmp_path):
+    docs = make_docs(["one two three", "漢字" * 3000, "x1Zq" * 3000, None, "", (7, "a b"), (7, "a b c d"), (None, "null id")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want, got, windows = Counter(), Counter(), Counter()
+    for r in token_counts.count_tokens(docs).collect():
+        want[r.doc_id] += r.n_tokens
+    for r in queries.op2_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.n_tokens
+        windows[r.window_id] += r.n_tokens
+    assert got == +want and want[1] > 2048 and max(windows.values()) <= 2048
