@@ -1,13 +1,16 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold: grouped prefix join.
+"""Near copies: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold: grouped prefix join.
 
 The n-grams are ordered from rare to frequent (by a count sketch of the whole corpus, ties by hash). Of a pair with
 Jaccard >= t, the first size - ceil(t size) + 1 n-grams in this order, the prefixes, have one in common. Documents with
-the same prefix and size form one group. Groups meet in an inverted index of prefixes, split by hash so that a task holds
-a bounded part; for each pair of groups the n-grams that their prefixes share are counted, and pairs that cannot reach
-the threshold with that many are dropped. What is left is expanded to the groups' distinct sets and verified on whole sets.
-
-Only compact numbers are shuffled: prefixes as 32-bit hashes, pairs as ids; texts move only for documents in a pair that
-passed the filter. Copies (equal sets) are one node throughout, so thousands of copies cost no more than one document.
+the same prefix and size form one group, groups with the same first n-gram a block. Blocks meet in an inverted index of
+prefixes, split by hash so that a task holds a bounded part; for each pair of blocks the n-grams that their groups'
+prefixes share are counted, and pairs whose groups can't reach the threshold with that many are dropped. What is left is
+expanded to the groups' distinct sets and verified on whole sets: blocks that are alike are dealt out to tiles of a
+bounded number of n-grams, and in each pair of tiles the sizes of all intersections are one matrix product.
+
+A pair of documents is never a row of a shuffle: of a tile only the number of links of each set and a star that connects
+the same sets come out. Texts don't move either; the sets that passed the filter do, as 48-bit hashes. Copies (equal sets)
+are one node throughout, so thousands of copies cost no more than one document.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refminer.llm import batches
-from refminer.llm.storage import cut
+from refminer.llm.storage import cut, release
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -32,6 +35,12 @@ SLOTS = 64
 #: Prefix entries that one task holds at a time.
 BUCKET_ENTRIES = 3_000_000
 PAIRS_AT_ONCE = 4_000_000
+#: N-grams of the sets that one side of a tile holds on average, where each set counts as SET_GRAMS more than it has; columns
+#: of the matrices that are multiplied at a time.
+TILE_GRAMS, SET_GRAMS = 1 << 19, 512
+COLUMNS = 2048
+#: Bits of the Bloom filter by which sets that no tile asks for are left where they are; whatever passes is joined exactly.
+BLOOM_BITS = 1 << 26
 
 
 def _ceil(x: float) -> int:
@@ -98,67 +107,90 @@ def _group_key(keys: np.ndarray, threshold: float) -> int:
     return _hash64(struct.pack("<q", len(keys)), keys[: prefix_length(len(keys), threshold)].tobytes())
 
 
+def _block(keys: np.ndarray) -> int:
+    return int(batches.mix(keys[:1]).view(np.int64)[0])
+
+
 def _packed(batch_rows: Iterator[tuple[int, np.ndarray]], buckets: int, threshold: float) -> tuple[list[int], list[bytes]]:
-    """The prefixes of a batch as one blob per bucket: groups, entries, group ids and sizes, then hash and group of each entry."""
-    groups: dict[int, int] = {}
-    ids, sizes, prefixes = [], [], []
+    """The prefixes of a batch as one blob per bucket: block ids with the least and greatest size of their groups, then the
+    entries in order of hash, as gaps (16 bits, or 0xFFFF and the hash among those that follow) and references to the blocks."""
+    groups: set[int] = set()
+    blocks, sizes, prefixes = [], [], []
     for _, keys in batch_rows:
         group = _group_key(keys, threshold)
         if group not in groups:
-            groups[group] = len(ids)
-            ids.append(group)
+            groups.add(group)
+            blocks.append(_block(keys))
             sizes.append(len(keys))
             prefixes.append(keys[: prefix_length(len(keys), threshold)])
-    if not ids:
+    if not blocks:
         return [], []
+    ids, owner = np.unique(np.array(blocks, np.int64), return_inverse=True)
+    size = np.array(sizes, np.int64)
+    low, high = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+    np.minimum.at(low, owner, size)
+    np.maximum.at(high, owner, size)
     values = batches.mix(np.concatenate(prefixes))
-    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(p) for p in prefixes])
+    owners = np.repeat(owner.astype(np.int64), [len(p) for p in prefixes])
     bucket = (values % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    gid, gsize = np.array(ids, np.int64), np.array(sizes, np.int32)
     names, blobs = [], []
     for b in range(buckets):
         at = order[edges[b] : edges[b + 1]]
         if len(at):
-            used, local = np.unique(owner[at], return_inverse=True)
+            code = np.unique((values[at] >> np.uint64(32) << np.uint64(32)) | owners[at].astype(np.uint64))
+            used, local = np.unique((code & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+            hashes = (code >> np.uint64(32)).astype(np.int64)
+            gaps = np.diff(hashes, prepend=0)
+            far = gaps >= 0xFFFF
             refs = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+            head = struct.pack("<iii", len(used), len(code), int(far.sum())) + ids[used].tobytes() + low[used].astype(np.int32).tobytes() + high[used].astype(np.int32).tobytes()
             names.append(b)
-            blobs.append(struct.pack("<ii", len(used), len(at)) + gid[used].tobytes() + gsize[used].tobytes() + (values[at] >> np.uint64(32)).astype(np.uint32).tobytes() + refs.tobytes())
+            blobs.append(head + hashes[far].astype(np.uint32).tobytes() + np.where(far, 0xFFFF, gaps).astype(np.uint16).tobytes() + refs.tobytes())
     return names, blobs
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    groups, entries = struct.unpack_from("<ii", blob)
-    at = 8
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block ids, least sizes, greatest sizes, hashes, references)"""
+    blocks, entries, jumps = struct.unpack_from("<iii", blob)
+    at = 12
     out = []
-    for kind, n in ((np.int64, groups), (np.int32, groups), (np.uint32, entries), (np.uint16 if groups <= 65536 else np.uint32, entries)):
+    for kind, n in ((np.int64, blocks), (np.int32, blocks), (np.int32, blocks), (np.uint32, jumps), (np.uint16, entries), (np.uint16 if blocks <= 65536 else np.uint32, entries)):
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    return out[0], out[1], out[2], out[3]
-
-
-def join_bucket(blobs: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group, group, size, size, shared prefix entries of this bucket) of all pairs of groups that share one and whose sizes allow the threshold."""
+    ids, low, high, far, small, refs = out
+    gaps = small.astype(np.int64)
+    jump = np.flatnonzero(small == 0xFFFF)
+    if len(jump):  # a jump lands on its hash: its gap is what the gaps before it leave
+        gaps[jump] = 0
+        total = np.cumsum(gaps)
+        gaps[jump] = np.diff(far.astype(np.int64) - total[jump], prepend=0)
+    return ids, low, high, np.cumsum(gaps), refs
+
+
+def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
+    """b1 < b2 with their least and greatest sizes and the prefix entries of this bucket that they share, for all pairs of blocks that share one and whose sizes allow the threshold."""
     parts = [_unpacked(b) for b in blobs]
     every = np.concatenate([p[0] for p in parts])
-    every_size = np.concatenate([p[1] for p in parts])
-    gid, at = np.unique(every, return_index=True)
-    gsize = every_size[at]
-    by_size = np.lexsort((gid, gsize))  # groups are numbered by size, so a list of groups is in order of size
-    gid, gsize = gid[by_size], gsize[by_size].astype(np.int64)
-    number = np.empty(len(gid), np.int64)
-    number[by_size] = np.arange(len(gid))
-    position = np.argsort(gid)
-    codes = []
-    for ids, _, hashes, refs in parts:
-        local = position[np.searchsorted(gid, ids, sorter=position)]
+    ids, at = np.unique(every, return_inverse=True)
+    low, high = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+    np.minimum.at(low, at, np.concatenate([p[1] for p in parts]))
+    np.maximum.at(high, at, np.concatenate([p[2] for p in parts]))
+    by_size = np.lexsort((ids, low))  # blocks are numbered by least size, so a list of blocks is in that order
+    number = np.empty(len(ids), np.int64)
+    number[by_size] = np.arange(len(ids))
+    ids, low, high = ids[by_size], low[by_size], high[by_size]
+    codes, first = [], 0
+    for own, _, _, hashes, refs in parts:
+        local = number[at[first : first + len(own)]]
+        first += len(own)
         codes.append((hashes.astype(np.uint64) << np.uint64(32)) | local[refs].astype(np.uint64))
     code = np.unique(np.concatenate(codes))
     del codes, parts
-    key, group = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key, block = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
     del code
-    total = len(gid)
+    total = len(ids)
     held: list[np.ndarray] = []
     weights: list[np.ndarray] = []
     waiting = 0
@@ -171,8 +203,8 @@ def join_bucket(blobs: list[bytes], threshold: float) -> tuple[np.ndarray, np.nd
     active = np.flatnonzero(key[1:] == key[:-1])
     distance = 1
     while len(active):
-        left, right = group[active], group[active + distance]
-        ok = gsize[left] >= threshold * gsize[right] - 1e-9
+        left, right = block[active], block[active + distance]
+        ok = high[left] >= threshold * low[right] - 1e-9
         active, left, right = active[ok], left[ok], right[ok]
         held.append(left * total + right)
         weights.append(np.ones(len(left), np.int32))
@@ -183,16 +215,17 @@ def join_bucket(blobs: list[bytes], threshold: float) -> tuple[np.ndarray, np.nd
         distance += 1
         active = active[active + distance < len(key)]
         active = active[key[active] == key[active + distance]]
-    if not held:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    merge()
-    a, b = held[0] // total, held[0] % total
-    return gid[a], gid[b], gsize[a], gsize[b], weights[0]
+    if held:
+        merge()
+    pairs, n = (held[0], weights[0]) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    a, b = pairs // total, pairs % total
+    swap = ids[a] > ids[b]  # a pair has one form, whatever the bucket
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return {"b1": ids[a], "b2": ids[b], "low1": low[a].astype(np.int32), "high1": high[a].astype(np.int32), "low2": low[b].astype(np.int32), "high2": high[b].astype(np.int32), "shared": n}
 
 
 def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, buckets: int) -> DataFrame:
-    """g1, g2: pairs of groups whose shared prefix entries leave the threshold possible."""
+    """b1, b2: pairs of blocks whose shared prefix entries leave the threshold possible for some of their groups."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,137 +233,232 @@ def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, bu
             names, blobs = _packed(_sorted_sets(batch.column("text"), n, shared.value), buckets, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
-    def join(table: pa.Table) -> pa.Table:
-        g1, g2, s1, s2, c = join_bucket(table.column("entries").to_pylist(), threshold)
-        swap = g1 > g2  # a pair has one form, whatever the bucket
-        return pa.table({"g1": np.where(swap, g2, g1), "g2": np.where(swap, g1, g2), "s1": np.where(swap, s2, s1), "s2": np.where(swap, s1, s2), "shared": c.astype(np.int64)})
-
     entries = docs.select("text").mapInArrow(emit, "bucket int, entries binary")
-    pairs = entries.groupBy("bucket").applyInArrow(join, "g1 bigint, g2 bigint, s1 bigint, s2 bigint, shared bigint")
-    counted = pairs.groupBy("g1", "g2").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum("shared").alias("shared"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("s1") + F.col("s2")) - 1e-9)
-    beyond = F.ceil(F.lit(threshold) * F.greatest("s1", "s2") - 1e-9) - 1
-    return counted.filter(F.col("shared") + beyond >= need).select("g1", "g2")
+    pairs = entries.groupBy("bucket").applyInArrow(lambda table: pa.table(join_bucket(table.column("entries").to_pylist(), threshold)), "b1 bigint, b2 bigint, low1 int, high1 int, low2 int, high2 int, shared int")
+    counted = pairs.groupBy("b1", "b2").agg(*(F.min(c).alias(c) for c in ("low1", "low2")), *(F.max(c).alias(c) for c in ("high1", "high2")), F.sum("shared").alias("shared"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("low1") + F.col("low2")) - 1e-9)
+    beyond = F.ceil(F.lit(threshold) * F.greatest("high1", "high2") - 1e-9) - 1
+    return counted.filter(F.col("shared") + beyond >= need).select("b1", "b2")
 
 
-def _nodes(docs: DataFrame, n: int, threshold: float, order: np.ndarray) -> DataFrame:
-    """node (hash of the whole set), grp, size and ids (the distinct doc_ids, sorted) of every distinct set."""
+def _described(docs: DataFrame, n: int, order: np.ndarray) -> DataFrame:
+    """doc_id, node (hash of the whole set), block and size of every document with a word; rows that share doc_id and set are one."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            rows, nodes, groups = [], [], []
+            rows, nodes, blocks, sizes = [], [], [], []
             for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
                 rows.append(row)
                 nodes.append(_hash64(keys.tobytes()))
-                groups.append(_group_key(keys, threshold))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64())], ["doc_id", "node", "grp"])
+                blocks.append(_block(keys))
+                sizes.append(len(keys))
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "node", "block", "size"])
+
+    return docs.mapInArrow(describe, "doc_id bigint, node bigint, block bigint, size bigint").distinct()
+
+
+def _bloom_places(nodes: np.ndarray, ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    value = batches.mix(nodes.astype(np.int64).view(np.uint64) ^ batches.mix(ids.astype(np.int64).view(np.uint64)))
+    return [(batches.mix(value + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in range(3)]
+
+
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter (bytes of 8 bits) of wanted (node, doc_id), made of partial filters of 1/SLOTS of the bits each, as gram_sketch."""
+    bits = BLOOM_BITS
+    part = bits // 8 // SLOTS
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.zeros(bits, bool)
+        for batch in parts:
+            for places in _bloom_places(batch.column("node").to_numpy(), batch.column("doc_id").to_numpy(), bits):
+                filled[places] = True
+        packed = np.packbits(filled)
+        slots = [k for k in range(SLOTS) if packed[k * part : (k + 1) * part].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([packed[k * part : (k + 1) * part].tobytes() for k in slots], pa.binary())], ["slot", "bits"])
+
+    def unite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in parts:
+            for slot, own in zip(batch.column("slot").to_pylist(), batch.column("bits"), strict=True):
+                total[slot] = total.get(slot, 0) | np.frombuffer(own.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slot", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for slot, own in wanted.coalesce(16).mapInArrow(mark, "slot int, bits binary").repartition(16, "slot").mapInArrow(unite, "slot int, bits binary").collect():
+        out[slot * part : (slot + 1) * part] = np.frombuffer(own, np.uint8)
+    return out
+
 
-    described = docs.mapInArrow(describe, "doc_id bigint, node bigint, grp bigint")
-    return described.groupBy("node", "grp").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+def _coded(keys: np.ndarray) -> bytes:
+    """48 bits of a hash of each n-gram, in 6 bytes."""
+    return (batches.mix(keys) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _decoded(blobs: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :6] = flat
+    return out.view("<u8").ravel()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, order: np.ndarray) -> DataFrame:
-    """node and its n-grams, for the nodes of wanted (node, doc_id: one of its documents)."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    """node and its n-grams, at least for the nodes of wanted (node, doc_id: one of its documents); a node has one row or a few equal ones."""
+    context = docs.sparkSession.sparkContext
+    shared, asked = context.broadcast(order), context.broadcast(_bloom(wanted))
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            asked = batch.column("node").to_pylist()
-            nodes, blobs = [], []
+            ids = batch.column("doc_id").to_numpy()
+            rows, nodes, sets = [], [], []
             for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
-                blob = keys.tobytes()
-                if _hash64(blob) == asked[row]:  # of rows with one doc_id, those with the set in question
-                    nodes.append(asked[row])
-                    blobs.append(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "grams"])
-
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(build, "node bigint, grams binary")
-
-
-def verify_tile(table: pa.Table, threshold: float, forest: bool) -> pa.Table:
-    """Rows with grams hold a node's set (in a), the others a pair (a, b). The pairs that reach the threshold; with forest
-    only so many of them that they connect the same nodes."""
-    a_all, b_all, grams = table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("grams").to_pylist()
-    sets = {a: np.frombuffer(g, np.uint64) for a, g in zip(a_all, grams, strict=True) if g is not None}
-    pairs: dict[int, list[int]] = {}
-    for a, b, g in zip(a_all, b_all, grams, strict=True):
-        if g is None:
-            pairs.setdefault(a, []).append(b)
-    out: list[tuple[int, int, float]] = []
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a in sorted(pairs):
-        own = sets[a]
-        listed = sorted(set(pairs[a]))
-        for k in range(0, len(listed), 512):
-            others = [sets[b] for b in listed[k : k + 512]]
-            sizes = np.array([len(o) for o in others])
-            joined = np.concatenate(others)
-            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-            both = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
-            similarity = both / (len(own) + sizes - both)
-            for b, s in zip(listed[k : k + 512], similarity.tolist(), strict=True):
-                if s >= threshold - 1e-12:
-                    if forest:
-                        x, y = find(a), find(b)
-                        if x == y:
-                            continue
-                        root[max(x, y)] = min(x, y)
-                    out.append((a, b, s))
-    cols = list(zip(*out, strict=True)) if out else [[], [], []]
-    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "jaccard": pa.array(cols[2], pa.float64())})
-
-
-def _similar_nodes(docs: DataFrame, n: int, threshold: float, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node, grp, ids; pairs: a < b, jaccard), both kept in the checkpoint folder."""
+                rows.append(row)
+                nodes.append(_hash64(keys.tobytes()))
+                sets.append(keys)
+            known = np.array(nodes, np.int64)
+            passes = np.ones(len(rows), bool)
+            for places in _bloom_places(known, ids[np.array(rows, np.int64)], BLOOM_BITS):
+                passes &= (asked.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
+            at = np.flatnonzero(passes)
+            yield pa.RecordBatch.from_arrays([pa.array(known[at], pa.int64()), pa.array([_coded(sets[k]) for k in at.tolist()], pa.binary())], ["node", "grams"])
+
+    return docs.mapInArrow(build, "node bigint, grams binary")
+
+
+def _shared_grams(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many n-grams each set of left has in common with each of right: products of 0/1 matrices, some n-grams at a time."""
+    grams = _decoded([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(b) // 6 for b in [*left, *right]])
+    by_gram = np.argsort(grams, kind="stable")
+    grams, row = grams[by_gram], row[by_gram]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    column = np.cumsum(new) - 1
+    both = np.logical_and(np.bincount(column, row < len(left)) > 0, np.bincount(column, row >= len(left)) > 0)
+    keep = both[column]  # an n-gram of one side alone adds nothing
+    row = row[keep]
+    column = (np.cumsum(both) - 1)[column[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(both.sum()) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        table = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        table[row[a:b], column[a:b] - k * COLUMNS] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+def verify_tile(table: pa.Table, threshold: float, listed: bool) -> pa.Table:
+    """The pairs of sets (side 0 against side 1; those of side 2 against each other) that reach the threshold.
+
+    With listed one row each (a, b, jaccard); otherwise a row for each set that has a link: a, the least set b that it is
+    connected to by links of this tile, and the copies of all its partners.
+    """
+    side = table.column("side").to_numpy()
+    node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+    grams = table.column("grams").to_pylist()
+    alone = bool((side == 2).any())
+    x, y = (np.flatnonzero(side == 2),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    size = np.array([len(g) // 6 for g in grams], np.int64)
+    found_a, found_b, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+    for k in range(0, len(x), step):
+        some = x[k : k + step]
+        both = _shared_grams([grams[i] for i in some], [grams[i] for i in y]).astype(np.float64)
+        similarity = both / (size[some][:, None] + size[y][None, :] - both)
+        a, b = np.nonzero(similarity >= threshold - 1e-12)
+        score, a, b = similarity[a, b], some[a], y[b]
+        keep = node[a] < node[b] if alone else node[a] != node[b]
+        found_a.append(a[keep])
+        found_b.append(b[keep])
+        found_j.append(score[keep])
+    a, b, score = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_j)
+    if listed:
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "value": score})
+    links = np.bincount(a, copies[b], minlength=len(node)) + np.bincount(b, copies[a], minlength=len(node))
+    root = node.copy()
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, before[b])
+        np.minimum.at(root, b, before[a])
+        if (root == before).all():
+            break
+    linked = np.flatnonzero(links)
+    return pa.table({"a": node[linked], "b": root[linked], "value": links[linked].astype(np.float64)})
+
+
+def _similar_nodes(docs: DataFrame, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, node; nodes: node, doc_id (the least), copies; what verify_tile finds: a, b, value), all kept in the shared folder."""
     docs = batches.with_doc_columns(docs).filter("doc_id is not null and text is not null")
     docs = docs.select("doc_id", F.lower("text").alias("text"))
     counts = gram_sketch(docs, n)
     order = np.round(np.log2(counts + 1.0) * 16384).astype(np.uint64) << np.uint64(44)
     buckets = max(1, math.ceil(counts.sum() * (1 - threshold) / BUCKET_ENTRIES))
-    nodes = cut(_nodes(docs, n, threshold, order))
-    groups = _candidates(docs, n, threshold, order, buckets)
-    slim = nodes.select("node", "grp", F.col("ids")[0].alias("doc_id"))
-    left = slim.select(F.col("node").alias("n1"), F.col("grp").alias("g1"))
-    right = slim.select(F.col("node").alias("n2"), F.col("grp").alias("g2"))
-    across = groups.join(left, "g1").join(right, "g2").select("n1", "n2")
-    within = left.join(right, (F.col("g1") == F.col("g2")) & (F.col("n1") < F.col("n2"))).select("n1", "n2")
-    pairs = cut(across.unionByName(within).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")))
-    # a pair is verified in the tile named after the least neighbour of its lesser node; alike documents share tiles
-    tile = pairs.select(F.col("a").alias("x"), F.col("a").alias("t")).union(pairs.select("b", "a")).groupBy("x").agg(F.min("t").alias("tile"))
-    placed = pairs.join(tile, F.col("a") == F.col("x")).select("tile", "a", "b")
-    needed = placed.select("tile", F.col("a").alias("node")).union(placed.select("tile", "b")).distinct()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(slim.select("node", "doc_id"), "node")
-    held = _sets(docs, wanted, n, order).dropDuplicates(["node"]).join(needed, "node")
-    rows = held.select("tile", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams").unionByName(placed.select("tile", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    verified = rows.groupBy("tile").applyInArrow(lambda table: verify_tile(table, threshold, forest), "a bigint, b bigint, jaccard double")
-    return nodes, verified
+    described = cut(_described(docs, n, order))
+    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("block").alias("block"), F.first("size").alias("size")))
+    own = nodes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
+    pairs = cut(_candidates(docs, n, threshold, order, buckets).unionByName(own))
+    # blocks that are alike have one home, the least of a block and its partners; a home's nodes are dealt out to tiles
+    ends = pairs.select(F.col("b1").alias("block"), F.col("b2").alias("other")).unionByName(pairs.select(F.col("b2").alias("block"), F.col("b1").alias("other")))
+    homes = ends.groupBy("block").agg(F.least(F.min("other"), F.first("block")).alias("home"))
+    placed = cut(nodes.join(homes, "block").select("block", "home", "node", "doc_id", "copies", "size"))
+    shares = placed.groupBy("home").agg(F.ceil(F.sum(F.col("size") + SET_GRAMS) / TILE_GRAMS).cast("int").alias("tiles"))
+    first = homes.select(F.col("block").alias("b1"), F.col("home").alias("h1"))
+    second = homes.select(F.col("block").alias("b2"), F.col("home").alias("h2"))
+    met = pairs.join(first, "b1").join(second, "b2").select("b1", "b2", F.least("h1", "h2").alias("x"), F.greatest("h1", "h2").alias("y"))
+    asked = met.select(F.col("b1").alias("block"), "x", "y").unionByName(met.select(F.col("b2").alias("block"), "x", "y")).distinct()
+    tiles = shares.select(F.col("home").alias("x"), F.col("tiles").alias("nx")), shares.select(F.col("home").alias("y"), F.col("tiles").alias("ny"))
+    sides = asked.join(tiles[0], "x").join(tiles[1], "y").join(placed.select("block", "home", "node", "copies"), "block")
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("home") == F.col("x"), F.col("nx")).otherwise(F.col("ny"))).cast("int")
+    sides = sides.withColumn("part", part)
+    others = F.sequence(F.lit(0), F.when(F.col("home") == F.col("x"), F.col("ny")).otherwise(F.col("nx")) - 1)
+    sides = sides.select("x", "y", "home", "node", "copies", "part", F.explode(others).alias("other"))
+    same = F.col("x") == F.col("y")
+    swap = F.when(same, F.col("part") > F.col("other")).otherwise(F.col("home") == F.col("y"))
+    located = sides.select(
+        "node",
+        "copies",
+        F.xxhash64("x", "y", F.when(swap, F.col("other")).otherwise(F.col("part")), F.when(swap, F.col("part")).otherwise(F.col("other"))).alias("tile"),
+        F.when(same & (F.col("part") == F.col("other")), F.lit(2)).otherwise(swap.cast("int")).alias("side"),
+    )
+    held = _sets(docs, placed.select("node", "doc_id"), n, order).groupBy("node").agg(F.first("grams").alias("grams"))
+    rows = held.join(located, "node").select("tile", "side", "node", "copies", "grams")
+    found = cut(rows.groupBy("tile").applyInArrow(lambda table: verify_tile(table, threshold, listed), "a bigint, b bigint, value double"))
+    release(pairs, placed)
+    return described.select("doc_id", "node"), nodes.select("node", "doc_id", "copies"), found
 
 
 def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """ids_a, ids_b (sorted arrays of doc_ids) and jaccard: every document of ids_a has this similarity to every one of ids_b.
+    """doc_a, doc_b, jaccard: all pairs of different sets that reach the threshold, each set named by its smallest doc_id; and
+    doc_a with every other document doc_b of the same set, with jaccard 1.
 
-    Documents with equal sets appear together: in one row with ids_a = ids_b and jaccard 1 if there are at least two, and
-    on one side of the rows of the similar sets; ids_a has the smaller first doc_id. Words are compared in lower case. A
-    document of fewer than n words has one n-gram, all its words. Rows with a null doc_id or a null text, and texts without
-    a word, take no part. Rows that share doc_id and set are one document. Other columns are ignored.
+    So a document doc_b is as similar to another set as its doc_a is. In pairs of sets doc_a < doc_b. Words are compared in
+    lower case. A document of fewer than n words has one n-gram, all its words. Rows with a null doc_id or a null text, and
+    texts without a word, take no part. Rows that share doc_id and set are one document; a doc_id that stands for several
+    sets may be in pairs with itself. Other columns are ignored.
     """
-    nodes, pairs = _similar_nodes(docs, n, threshold, forest=False)
-    ids = nodes.select("node", "ids")
-    sides = pairs.join(ids.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
-    first = F.col("x")[0] <= F.col("y")[0]
-    across = sides.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("ids_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("ids_b"), "jaccard")
-    copies = nodes.filter(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
+    described, nodes, pairs = _similar_nodes(docs, n, threshold, listed=True)
+    named = nodes.select("node", "doc_id")
+    across = pairs.join(named.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b")
+    across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.col("value").alias("jaccard"))
+    copies = described.join(nodes.filter("copies > 1").select("node", F.col("doc_id").alias("doc_a")), "node").filter("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(copies)
 
 
+def similarity_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links: a row for every document that is similar to another one.
+
+    n_links is the number of all other documents whose similarity to this one reaches the threshold, copies included. A
+    class is a connected component of these links, class_id the smallest doc_id in it. What takes part, and how repeated
+    rows count, is said in similar_documents; a doc_id with several sets has a row for each of them that has a link.
+    """
+    described, nodes, found = _similar_nodes(docs, n, threshold, listed=False)
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("value").cast("bigint").alias("links"))
+    linked = nodes.join(links, "node", "left").join(components(found.select("a", "b")), "node", "left").filter("copies > 1 or links is not null")
+    linked = linked.select("node", "doc_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    named = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return described.join(linked.join(named, "component").select("node", "class_id", "n_links"), "node").select("doc_id", "class_id", "n_links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node of edges (a, b), by alternating large and small stars."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -341,7 +469,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        before, edges = edges, cut(small.distinct())
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == state:
             break
@@ -350,28 +479,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; all columns stay.
+    """docs with one document of each class of similarity_classes, that with the smallest doc_id; all columns stay.
 
-    A group is a connected component of the pairs of similar_documents. What takes no part there (null doc_id, null text,
-    no word) stays. Rows that share a doc_id stay or go together.
+    What takes no part there (null doc_id, null text, no word) stays. Rows that share a doc_id stay or go together.
     """
-    nodes, pairs = _similar_nodes(docs, n, threshold, forest=True)
-    joined = nodes.join(components(pairs.select("a", "b")), "node", "left").select(F.coalesce("component", "node").alias("component"), F.explode("ids").alias("doc_id"))
-    first = joined.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count_distinct("doc_id").alias("n")).filter("n > 1")
-    gone = joined.join(first, "component").filter("doc_id <> first_id").select("doc_id").distinct()
+    gone = similarity_classes(docs, n, threshold).filter("doc_id <> class_id").select("doc_id").distinct()
     return batches.without(docs, gone)
 
 
-def similar_documents_sql(n: int = NGRAM, threshold: float = THRESHOLD) -> str:
-    """similar_documents over the table documents, for DuckDB, by an equi-join of all n-grams."""
+def similarity_classes_sql(n: int = NGRAM, threshold: float = THRESHOLD) -> str:
+    """similarity_classes over the table documents, for DuckDB, by an equi-join of all n-grams and a walk along the links."""
     return rf"""
-    WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-    s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, CAST(greatest(len(w) - {n - 1}, 1) + 1 AS BIGINT)), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) AS grams FROM d WHERE len(w) > 0),
-    c AS (SELECT grams, list_sort(list_distinct(list(doc_id))) AS ids FROM s GROUP BY grams),
-    k AS (SELECT row_number() OVER (ORDER BY ids) AS node, ids, len(grams) AS size, grams FROM c),
-    g AS (SELECT node, size, unnest(grams) AS gram FROM k),
-    o AS (SELECT x.node AS a, y.node AS b, count(*) AS shared, any_value(x.size) AS sa, any_value(y.size) AS sb FROM g x JOIN g y ON x.gram = y.gram AND x.node < y.node GROUP BY 1, 2),
-    p AS (SELECT a, b, CAST(shared AS DOUBLE) / (sa + sb - shared) AS jaccard FROM o)
-    SELECT ka.ids AS ids_a, kb.ids AS ids_b, jaccard FROM p JOIN k ka ON ka.node = a JOIN k kb ON kb.node = b WHERE jaccard >= {threshold} - 1e-12
-    UNION ALL SELECT ids, ids, CAST(1.0 AS DOUBLE) FROM k WHERE len(ids) > 1
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, CAST(greatest(len(w) - {n - 1}, 1) + 1 AS BIGINT)), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) AS grams FROM d WHERE len(w) > 0),
+    k AS (SELECT row_number() OVER (ORDER BY min(doc_id), grams) AS node, min(doc_id) AS first_id, count(*) AS copies, len(grams) AS size, grams FROM s GROUP BY grams),
+    g AS (SELECT node, size, copies, unnest(grams) AS gram FROM k),
+    o AS (SELECT x.node AS a, y.node AS b, count(*) AS shared, any_value(x.size) AS sa, any_value(y.size) AS sb, any_value(y.copies) AS copies FROM g x JOIN g y ON x.gram = y.gram AND x.node <> y.node GROUP BY 1, 2),
+    p AS (SELECT a, b, copies FROM o WHERE CAST(shared AS DOUBLE) / (sa + sb - shared) >= {threshold} - 1e-12),
+    r AS (SELECT node AS origin, node FROM k UNION SELECT r.origin, p.b FROM r JOIN p ON p.a = r.node),
+    c AS (SELECT origin AS node, min(k.first_id) AS class_id FROM r JOIN k ON k.node = r.node GROUP BY 1),
+    l AS (SELECT a AS node, sum(copies) AS links FROM p GROUP BY 1)
+    SELECT s.doc_id, c.class_id, CAST(k.copies - 1 + coalesce(l.links, 0) AS BIGINT) AS n_links
+    FROM s JOIN k ON k.grams = s.grams JOIN c ON c.node = k.node LEFT JOIN l ON l.node = k.node WHERE k.copies > 1 OR l.links IS NOT NULL
     """

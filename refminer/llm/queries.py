@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from refminer.llm.decontamination import find_overlaps, overlaps_sql
 from refminer.llm.license_scan import scan_licenses
-from refminer.llm.ngram_join import similar_documents, similar_documents_sql
+from refminer.llm.ngram_join import similarity_classes, similarity_classes_sql
 from refminer.llm.packing import pack_documents
 from refminer.llm.pii import find_pii
 from refminer.llm.quality_classifier import classify_quality
@@ -52,7 +52,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules_sql(), "op5_decontamination": overlaps_sql(), "op7_ngram_jaccard_join": similar_documents_sql()}
+    return {"op3_quality_rules": quality_rules_sql(), "op5_decontamination": overlaps_sql(), "op7_ngram_jaccard_join": similarity_classes_sql()}

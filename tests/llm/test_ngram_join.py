@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import prose
 
-from refminer.llm import ngram_join
+from refminer.llm import batches, ngram_join
 
 
 def grams(text, n=3):
@@ -37,15 +37,39 @@ def brute(texts, t):
 
 
 def expanded(rows):
+    """All pairs, from the pairs of representatives and the copies of each."""
+    rows = [(r.doc_a, r.doc_b, r.jaccard) for r in rows]
+    copies = {}
+    for a, b, j in rows:
+        if j == 1:
+            copies.setdefault(a, [a]).append(b)
     out = {}
-    for r in rows:
-        for a in r.ids_a:
-            for b in r.ids_b:
-                if a != b:
-                    assert out.setdefault((min(a, b), max(a, b)), r.jaccard) == r.jaccard
+    for a, b, j in rows:
+        assert a < b
+        for x in copies.get(a, [a]):
+            for y in copies.get(b, [b]):
+                if x != y:
+                    assert out.setdefault((min(x, y), max(x, y)), j) == j
+    for own in copies.values():
+        out |= {(x, y): 1.0 for x in own for y in own if x < y}
     return out
 
 
+def classes(pairs):
+    """doc_id -> (class_id, n_links)"""
+    root = {k: k for p in pairs for k in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {k: (find(k), sum(k in p for p in pairs)) for k in root}
+
+
 @pytest.mark.parametrize("t", [0.5, 0.8])
 def test_pairs_equal_brute_force(make_docs, t):
     texts = corpus(7, 150)
@@ -58,7 +82,52 @@ def test_many_buckets_give_the_same(make_docs, monkeypatch):
     texts = corpus(8, 120)
     monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 200)
     monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 50)
-    assert expanded(ngram_join.similar_documents(make_docs(texts)).collect()).keys() == brute(texts, 0.5).keys()
+    monkeypatch.setattr(ngram_join, "COLUMNS", 8)
+    docs, want = make_docs(texts), brute(texts, 0.5)
+    for grams_of_a_tile in (1 << 19, 2000, 600):
+        monkeypatch.setattr(ngram_join, "TILE_GRAMS", grams_of_a_tile)
+        assert expanded(ngram_join.similar_documents(docs).collect()).keys() == want.keys()
+        found = ngram_join.similarity_classes(docs).collect()
+        assert len(found) == len({r.doc_id for r in found}) and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes(want)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_classes_and_links_equal_brute_force(make_docs, t):
+    texts = corpus(12, 150)
+    found = ngram_join.similarity_classes(make_docs(texts), threshold=t).collect()
+    assert found and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes(brute(texts, t))
+
+
+def test_a_cluster_larger_than_a_tile(make_docs):
+    """A thousand copies with an edit or two each, as in a hot source: every link is counted, in many tiles."""
+    rng = random.Random(13)
+    words = prose(rng, 120).split()
+    texts = []
+    for k in range(1000):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 6])):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    sets = [grams(x) for x in texts]
+    want = [sum(2 * len(a & b) >= len(a | b) for b in sets) - 1 for a in sets]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similarity_classes(make_docs(texts)).collect()}
+    assert found == {k: (0, n) for k, n in enumerate(want)}
+
+
+def test_prefix_blobs_are_read_back():
+    rng = np.random.default_rng(5)
+    rows = [(k, np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))) for k in range(40)]
+    names, blobs = ngram_join._packed(iter(rows), 3, 0.5)
+    entries = set()
+    for b, blob in zip(names, blobs, strict=True):
+        ids, low, high, hashes, refs = ngram_join._unpacked(blob)
+        assert (low[refs] > 0).all() and (high >= low).all()
+        entries |= {(b, h, i) for h, i in zip(hashes.tolist(), ids[refs].tolist(), strict=True)}
+    want = set()
+    for _, keys in rows:
+        for v in batches.mix(keys[: ngram_join.prefix_length(len(keys), 0.5)]).tolist():
+            want.add((v % 3, v >> 32, ngram_join._block(keys)))
+    assert entries == want
 
 
 def test_one_of_each_group_stays(make_docs):
@@ -80,8 +149,9 @@ def test_one_of_each_group_stays(make_docs):
 def test_thousands_of_copies_and_a_chain(spark, make_docs):
     rng = random.Random(11)
     text = prose(rng, 40)
-    out = ngram_join.similar_documents(make_docs([text] * 2000 + [prose(rng, 40)])).collect()
-    assert len(out) == 1 and out[0].ids_a == out[0].ids_b == list(range(2000))
+    docs = make_docs([text] * 2000 + [prose(rng, 40)])
+    assert {tuple(r) for r in ngram_join.similar_documents(docs).collect()} == {(0, k, 1.0) for k in range(1, 2000)}
+    assert {tuple(r) for r in ngram_join.similarity_classes(docs).collect()} == {(k, 0, 1999) for k in range(2000)}
     n = 60
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert {tuple(r) for r in ngram_join.components(chain).collect()} == {(k, 0) for k in range(n + 1)} | {(100, 100), (101, 100)}
