@@ -2,7 +2,8 @@
 
 The n-grams are ordered from rare to frequent (by a count sketch of the whole corpus, ties by hash). Of a pair with
 Jaccard >= t, the first size - ceil(t size) + 1 n-grams in this order, the prefixes, have one in common. Documents with
-the same prefix and size form one group, groups with the same first n-gram a block. Blocks meet in an inverted index of
+the same prefix and size form one group; groups of about one size with the same min-hash, as most near copies have, form a
+block. Blocks meet in an inverted index of
 prefixes, split by hash so that a task holds a bounded part; for each pair of blocks the n-grams that their groups'
 prefixes share are counted, and pairs whose groups can't reach the threshold with that many are dropped. What is left is
 expanded to the groups' distinct sets and verified on whole sets: blocks that are alike are dealt out to tiles of a
@@ -31,9 +32,13 @@ from refminer.llm.storage import cut, release
 NGRAM = 3
 THRESHOLD = 0.5
 SKETCH_BITS = 20
+#: Logarithm of the ratio of the sizes of a block's largest and smallest groups, at most.
+SIZE_CLASS = math.log(1.04)
 SLOTS = 64
 #: Prefix entries that one task holds at a time.
 BUCKET_ENTRIES = 3_000_000
+#: Bits of an n-gram's hash in a bucket. Equal hashes of different n-grams only make candidates.
+HASH_BITS = 30
 PAIRS_AT_ONCE = 4_000_000
 #: N-grams of the sets that one side of a tile holds on average, where each set counts as SET_GRAMS more than it has; columns
 #: of the matrices that are multiplied at a time.
@@ -87,6 +92,11 @@ def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """The leading 20 bits of an n-gram's place in the global order."""
+    return np.round(np.log2(counts + 1.0) * 16384).astype(np.uint64) << np.uint64(44)
+
+
 def _sorted_sets(column: pa.Array, n: int, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(row, distinct n-grams in the global order) of every row with a word. Each n-gram is its sketch count and 44 bits of its hash."""
     for first, grams, bounds in _grams(column, n):
@@ -107,20 +117,27 @@ def _group_key(keys: np.ndarray, threshold: float) -> int:
     return _hash64(struct.pack("<q", len(keys)), keys[: prefix_length(len(keys), threshold)].tobytes())
 
 
-def _block(keys: np.ndarray) -> int:
-    return int(batches.mix(keys[:1]).view(np.int64)[0])
+def _block(keys: np.ndarray, heavy: np.uint64) -> int:
+    """The least hash of the n-grams, by class of size; of those at least as frequent as heavy if these are more than half.
+
+    What an edit puts in is rare. So of a cluster of many near copies, whose other n-grams are heavy, nearly all fall into
+    a few blocks. Blocks only save work: any division of the documents into blocks gives the same pairs.
+    """
+    frequent = keys[int(np.searchsorted(keys, heavy)) :]
+    least = batches.mix((frequent if 2 * len(frequent) > len(keys) else keys) ^ np.uint64(0x5BF0A8B1457695D3)).min()
+    return int(batches.mix(np.array([least + np.uint64(int(math.log(len(keys)) / SIZE_CLASS))], np.uint64)).view(np.int64)[0])
 
 
-def _packed(batch_rows: Iterator[tuple[int, np.ndarray]], buckets: int, threshold: float) -> tuple[list[int], list[bytes]]:
+def _packed(batch_rows: Iterator[tuple[int, np.ndarray]], buckets: int, threshold: float, heavy: np.uint64) -> tuple[list[int], list[bytes]]:
     """The prefixes of a batch as one blob per bucket: block ids with the least and greatest size of their groups, then the
-    entries in order of hash, as gaps (16 bits, or 0xFFFF and the hash among those that follow) and references to the blocks."""
+    entries in order of hash (HASH_BITS), as gaps (16 bits, or 0xFFFF and the hash among those before) and references to the blocks."""
     groups: set[int] = set()
     blocks, sizes, prefixes = [], [], []
     for _, keys in batch_rows:
         group = _group_key(keys, threshold)
         if group not in groups:
             groups.add(group)
-            blocks.append(_block(keys))
+            blocks.append(_block(keys, heavy))
             sizes.append(len(keys))
             prefixes.append(keys[: prefix_length(len(keys), threshold)])
     if not blocks:
@@ -139,13 +156,13 @@ def _packed(batch_rows: Iterator[tuple[int, np.ndarray]], buckets: int, threshol
     for b in range(buckets):
         at = order[edges[b] : edges[b + 1]]
         if len(at):
-            code = np.unique((values[at] >> np.uint64(32) << np.uint64(32)) | owners[at].astype(np.uint64))
+            code = np.unique((values[at] >> np.uint64(64 - HASH_BITS) << np.uint64(32)) | owners[at].astype(np.uint64))
             used, local = np.unique((code & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
             hashes = (code >> np.uint64(32)).astype(np.int64)
             gaps = np.diff(hashes, prepend=0)
             far = gaps >= 0xFFFF
             refs = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-            head = struct.pack("<iii", len(used), len(code), int(far.sum())) + ids[used].tobytes() + low[used].astype(np.int32).tobytes() + high[used].astype(np.int32).tobytes()
+            head = struct.pack("<iii", len(used), len(code), int(far.sum())) + ids[used].tobytes() + low[used].astype(np.int32).tobytes() + (high - low)[used].astype(np.int32).tobytes()
             names.append(b)
             blobs.append(head + hashes[far].astype(np.uint32).tobytes() + np.where(far, 0xFFFF, gaps).astype(np.uint16).tobytes() + refs.tobytes())
     return names, blobs
@@ -166,7 +183,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         gaps[jump] = 0
         total = np.cumsum(gaps)
         gaps[jump] = np.diff(far.astype(np.int64) - total[jump], prepend=0)
-    return ids, low, high, np.cumsum(gaps), refs
+    return ids, low, low + high, np.cumsum(gaps), refs
 
 
 def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
@@ -224,13 +241,13 @@ def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
     return {"b1": ids[a], "b2": ids[b], "low1": low[a].astype(np.int32), "high1": high[a].astype(np.int32), "low2": low[b].astype(np.int32), "high2": high[b].astype(np.int32), "shared": n}
 
 
-def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, heavy: np.uint64, buckets: int) -> DataFrame:
     """b1, b2: pairs of blocks whose shared prefix entries leave the threshold possible for some of their groups."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            names, blobs = _packed(_sorted_sets(batch.column("text"), n, shared.value), buckets, threshold)
+            names, blobs = _packed(_sorted_sets(batch.column("text"), n, shared.value), buckets, threshold, heavy)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
     entries = docs.select("text").mapInArrow(emit, "bucket int, entries binary")
@@ -241,7 +258,7 @@ def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, bu
     return counted.filter(F.col("shared") + beyond >= need).select("b1", "b2")
 
 
-def _described(docs: DataFrame, n: int, order: np.ndarray) -> DataFrame:
+def _described(docs: DataFrame, n: int, order: np.ndarray, heavy: np.uint64) -> DataFrame:
     """doc_id, node (hash of the whole set), block and size of every document with a word; rows that share doc_id and set are one."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -251,7 +268,7 @@ def _described(docs: DataFrame, n: int, order: np.ndarray) -> DataFrame:
             for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
                 rows.append(row)
                 nodes.append(_hash64(keys.tobytes()))
-                blocks.append(_block(keys))
+                blocks.append(_block(keys, heavy))
                 sizes.append(len(keys))
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "node", "block", "size"])
@@ -391,12 +408,14 @@ def _similar_nodes(docs: DataFrame, n: int, threshold: float, listed: bool) -> t
     docs = batches.with_doc_columns(docs).filter("doc_id is not null and text is not null")
     docs = docs.select("doc_id", F.lower("text").alias("text"))
     counts = gram_sketch(docs, n)
-    order = np.round(np.log2(counts + 1.0) * 16384).astype(np.uint64) << np.uint64(44)
+    order = _rank(counts)
+    usual = float(np.median(counts))
+    heavy = _rank(np.array([usual + 6 * math.sqrt(usual)]))[0]
     buckets = max(1, math.ceil(counts.sum() * (1 - threshold) / BUCKET_ENTRIES))
-    described = cut(_described(docs, n, order))
+    described = cut(_described(docs, n, order, heavy))
     nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("block").alias("block"), F.first("size").alias("size")))
     own = nodes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
-    pairs = cut(_candidates(docs, n, threshold, order, buckets).unionByName(own))
+    pairs = cut(_candidates(docs, n, threshold, order, heavy, buckets).unionByName(own))
     # blocks that are alike have one home, the least of a block and its partners; a home's nodes are dealt out to tiles
     ends = pairs.select(F.col("b1").alias("block"), F.col("b2").alias("other")).unionByName(pairs.select(F.col("b2").alias("block"), F.col("b1").alias("other")))
     homes = ends.groupBy("block").agg(F.least(F.min("other"), F.first("block")).alias("home"))

@@ -117,7 +117,7 @@ def test_a_cluster_larger_than_a_tile(make_docs):
 def test_prefix_blobs_are_read_back():
     rng = np.random.default_rng(5)
     rows = [(k, np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))) for k in range(40)]
-    names, blobs = ngram_join._packed(iter(rows), 3, 0.5)
+    names, blobs = ngram_join._packed(iter(rows), 3, 0.5, np.uint64(1 << 61))
     entries = set()
     for b, blob in zip(names, blobs, strict=True):
         ids, low, high, hashes, refs = ngram_join._unpacked(blob)
@@ -126,7 +126,7 @@ def test_prefix_blobs_are_read_back():
     want = set()
     for _, keys in rows:
         for v in batches.mix(keys[: ngram_join.prefix_length(len(keys), 0.5)]).tolist():
-            want.add((v % 3, v >> 32, ngram_join._block(keys)))
+            want.add((v % 3, v >> 34, ngram_join._block(keys, np.uint64(1 << 61))))
     assert entries == want
 
 
