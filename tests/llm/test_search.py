@@ -41,6 +41,23 @@ def test_overlaps_equal_brute_force(spark, make_docs, collected):
     assert kept == set(range(60)) - {w[0] for w in want}
 
 
+def test_items_of_one_word_and_blocks_of_items(spark, make_docs, collected, monkeypatch):
+    texts = ["alpha beta gamma delta", "beta, Alpha", "gamma", "", None, "one two three four five"]
+    items = [(1, "alpha"), (2, "Beta gamma"), (3, "one two three"), (3, "gamma"), (None, "beta"), (4, ""), (5, None)]
+    docs, benchmark = make_docs(texts), spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(0, 1, 1, 0, 0), (0, 2, 1, 1, 2), (0, 3, 1, 2, 2), (1, 1, 1, 1, 1), (2, 3, 1, 0, 0), (5, 3, 1, 0, 2)]
+    for size in (1 << 25, 5):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
+        assert collected(decontamination.find_overlaps(docs, benchmark, min_words=1)) == want
+        assert {r.doc_id for r in decontamination.decontaminate(docs, benchmark, min_words=1).collect()} == {3, 4}
+
+
+def test_rows_are_judged_by_their_own_text(spark, make_docs):
+    benchmark = spark.createDataFrame([(0, "alpha beta gamma")], "item_id bigint, text string")
+    docs = make_docs([(7, "alpha beta gamma"), (7, "clean"), (None, "so alpha, beta gamma"), (None, "clean too"), (8, "alpha beta gamma"), (8, "alpha beta gamma")])
+    assert sorted((r.text) for r in decontamination.decontaminate(docs, benchmark).collect()) == ["clean", "clean too"]
+
+
 def test_licenses_equal_full_alignment(make_docs):
     rng = random.Random(3)
     names = list(license_scan.TEMPLATES)
@@ -164,6 +181,22 @@ def test_token_counts_equal_greedy_matching(make_docs):
     assert [r.n_tokens for r in token_counts.count_tokens(make_docs(texts)).orderBy("doc_id").collect()] == want
 
 
+def test_separators_that_are_no_white_space_are_counted(make_docs):
+    pieces = set(token_counts.read_vocabulary(token_counts.VOCABULARY))
+
+    def greedy(word):
+        s, i, n = (*word.encode(), token_counts.END), 0, 0
+        while i < len(s):
+            j = next((j for j in range(len(s), i, -1) if s[i:j] in pieces), 0)
+            if not j:
+                return 1
+            i, n = j, n + 1
+        return n
+
+    texts = ["hello\x1cworld", "\x1d", "a \x1e b\x1f\x1f c", "plain words", "tab\x0bform\x0cfeed\x85next\xa0no-break\u2028line"]
+    assert [r.n_tokens for r in token_counts.count_tokens(make_docs(texts)).orderBy("doc_id").collect()] == [sum(map(greedy, token_counts.split_words(t))) for t in texts]
+
+
 def test_secrets_on_held_out_samples(make_docs):
     samples = [s for s in secrets.labelled_samples(500, seed=77) if len(s[0]) >= secrets.MIN_LENGTH]
     rng = random.Random(6)
