@@ -23,6 +23,7 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 256
 WIDTH = 257
 CACHE_WORDS = 300_000
+_SPACE = regex.compile(r"\s+")
 _SPLIT = regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -140,6 +141,11 @@ def split_words(text: str) -> list[str]:
     return list(_SPLIT.findall(text.lower()))
 
 
+def spaced(text: str) -> list[str]:
+    """text split at white space as _SPLIT sees it: \\x1c to \\x1f, at which str.split splits too, are characters like others."""
+    return [p for p in _SPACE.split(text) if p] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 class Counter:
     """Counts tokens of texts; keeps the counts of up to CACHE_WORDS space-separated strings met before."""
 
@@ -157,7 +163,7 @@ class Counter:
         self.seen.update(zip(strings, counts.astype(np.int64).tolist(), strict=True))
 
     def count(self, texts: list[str | None]) -> list[int]:
-        split = [(text or "").lower().split() for text in texts]
+        split = [spaced((text or "").lower()) for text in texts]
         new: set[str] = set()
         for parts in split:
             new.update(parts)
