@@ -16,7 +16,7 @@ from refminer.llm.quality_classifier import classify_quality
 from refminer.llm.quality_rules import quality_rules, quality_rules_sql
 from refminer.llm.secrets import scan_secrets
 from refminer.llm.token_counts import count_tokens
-from refminer.llm.url_filter import corpus_statistics, filter_urls, label_by_document
+from refminer.llm.url_filter import corpus_statistics, filter_urls, label_by_seeds
 from refminer.llm.url_filter import train as train_urls
 
 
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    labelled = label_by_document(pages, table(spark, sf_dir, "labels"))
+    labelled = label_by_seeds(pages)
     statistics = corpus_statistics(pages, labelled)
     return filter_urls(pages, train_urls(labelled, statistics=statistics), statistics=statistics)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refminer.llm.storage import cut
@@ -24,6 +25,13 @@ MIN_PROBABILITY = 0.5
 PRIOR = 10
 #: Statistics of at most so many suffixes and extensions are broadcast; more are joined by shuffling.
 BROADCAST_KEYS = 100_000
+#: Parts of the labelled URLs; what a URL is trained with are the rates of the other parts.
+FOLDS = 5
+#: Words that make a host a bad one: labels for tables that have none for their URLs. A labelled list takes their place where there is one.
+SEED_WORDS = tuple(
+    "ads adserver banner bet bets betting bonus casino cheap cialis clickbait coupon dating deals escort forex free gambling jackpot keno loan loans lottery "
+    "payday pharma pills poker popads popup porn promo replica roulette slot slots spam sportsbook track tracker tracking viagra win winner xxx".split()
+)
 STATISTICS = "suffix_rate suffix_share extension_rate extension_share".split()
 
 NAMES = (
@@ -48,7 +56,7 @@ def suffixes(url: str) -> tuple[str, str]:
     host, path = (match.group(2) or "", match.group(3) or "") if match else ("", "")
     host = host.rpartition("@")[2].partition(":")[0].lower()
     name = path.rpartition("/")[2]
-    return host.rpartition(".")[2], name.rpartition(".")[2].lower()[:8] if "." in name else ""
+    return host.rpartition(".")[2], name.rpartition(".")[2].lower() if "." in name else ""
 
 
 def lexical(url: str) -> list[float]:
@@ -119,6 +127,12 @@ def fit(urls: list[str], labels: np.ndarray, trees: int = TREES, rate: float = R
     inner = 2**DEPTH - 1
     model = UrlModel(_statistics([p[0] for p in pairs], y, share), _statistics([p[1] for p in pairs], y, share), base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     x = model.matrix(urls, statistics)
+    if statistics is None:
+        fold = np.array([zlib.crc32(u.encode()) % FOLDS for u in urls])
+        for part, column in ((0, NAMES.index("suffix_rate")), (1, NAMES.index("extension_rate"))):
+            keys = np.unique(np.array([p[part] for p in pairs], object).astype(str), return_inverse=True)[1]
+            n, good = (np.bincount(keys * FOLDS + fold, w, minlength=(keys.max(initial=0) + 1) * FOLDS).reshape(-1, FOLDS) for w in (None, y))
+            x[:, column] = ((good.sum(1)[keys] - good[keys, fold]) + PRIOR * share) / (n.sum(1)[keys] - n[keys, fold] + PRIOR)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     total = np.full(len(y), base)
@@ -154,13 +168,11 @@ def fit(urls: list[str], labels: np.ndarray, trees: int = TREES, rate: float = R
     return model
 
 
-def label_by_document(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url and label (quality 1 and not toxic) of the pages whose path ends in the number of a rated document."""
-    number = F.regexp_extract(F.col("url"), r"/(\d{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
-    numbered = pages.select("url", F.when(number != "", number.cast("bigint")).alias("doc_id")).dropna()
-    good = F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("label")
-    rated = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(good)
-    return numbered.join(rated, "doc_id").select("url", "label")
+def label_by_seeds(urls: DataFrame, words: tuple[str, ...] = SEED_WORDS) -> DataFrame:
+    """url and label of every URL that has a host: 0 if a part of the host, its last label aside, is one of words, else 1. Null and empty URLs go; repeated rows stay."""
+    host = F.lower(F.regexp_extract(F.col("url"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    parts = F.split(F.regexp_replace(host, r"\.[^.]*$", ""), "[-._0-9]+")
+    return urls.select(F.col("url").cast("string").alias("url")).filter(host != "").select("url", (~F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))).cast("int").alias("label"))
 
 
 def _with_keys(urls: DataFrame) -> DataFrame:
@@ -178,26 +190,36 @@ def _with_keys(urls: DataFrame) -> DataFrame:
 
 
 def corpus_statistics(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """kind (suffix or extension), key, share of all URLs of pages, and rate, the smoothed share of label 1 of all labelled
-    URLs; every row counts, null and empty URLs don't. It is kept in the checkpoint folder."""
+    """kind (suffix or extension), key, share of all URLs of pages, rate, the smoothed share of label 1 of all labelled URLs,
+    and rates, one for each fold of URLs, of the labelled URLs outside it. Every row counts, null and empty URLs don't. It is
+    kept in the checkpoint folder."""
     url = F.col("url").cast("string")
     every = pages.select(url.alias("url"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("label"))
     rated = labelled.select(url.alias("url"), F.lit(0).alias("n"), F.col("label").cast("int").alias("label")).filter("label is not null")
     kinds = F.expr("stack(2, 'suffix', suffix, 'extension', extension) as (kind, key)")
-    counts = _with_keys(every.unionByName(rated).filter("url <> ''")).select("n", "label", kinds).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("label").alias("rated"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"))
+    keyed = _with_keys(every.unionByName(rated).filter("url <> ''")).select("n", "label", _fold(F.col("url")).alias("fold"), kinds)
+    folds = [f(F.when(F.col("fold") == k, F.col("label"))).alias(f"{name}_{k}") for k in range(FOLDS) for name, f in (("rated", F.count), ("good", F.sum))]
+    counts = keyed.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("label").alias("rated"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"), *folds)
     counts = cut(counts)
     total = counts.filter("kind = 'suffix'").agg(F.sum("n"), F.sum("rated"), F.sum("good")).first()
     n, mean = max(total[0] or 0, 1), (total[2] / total[1] if total[1] else 0.5)
-    return counts.select("kind", "key", (F.col("n") / n).alias("share"), ((F.col("good") + PRIOR * mean) / (F.col("rated") + PRIOR)).alias("rate"))
+    outside = [(F.col("good") - F.coalesce(f"good_{k}", F.lit(0)) + PRIOR * mean) / (F.col("rated") - F.col(f"rated_{k}") + PRIOR) for k in range(FOLDS)]
+    return counts.select("kind", "key", (F.col("n") / n).alias("share"), ((F.col("good") + PRIOR * mean) / (F.col("rated") + PRIOR)).alias("rate"), F.array(*outside).alias("rates"))
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
 
 
-def _with_statistics(urls: DataFrame, statistics: DataFrame) -> DataFrame:
-    """urls with the columns STATISTICS."""
+def _with_statistics(urls: DataFrame, statistics: DataFrame, training: bool = False) -> DataFrame:
+    """urls with the columns STATISTICS; for training with the rates outside a URL's own fold."""
     small = statistics.count() <= BROADCAST_KEYS
     out = _with_keys(urls)
     for kind in ("suffix", "extension"):
-        part = statistics.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("rate").alias(f"{kind}_rate"), F.col("share").alias(f"{kind}_share"))
+        part = statistics.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("rates" if training else "rate").alias(f"{kind}_rate"), F.col("share").alias(f"{kind}_share"))
         out = out.join(F.broadcast(part) if small else part, kind, "left")
+        if training:
+            out = out.withColumn(f"{kind}_rate", F.get(f"{kind}_rate", _fold(F.col("url"))))
     return out.select(*urls.columns, *STATISTICS)
 
 
@@ -209,7 +231,7 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, statistics: Dat
     if statistics is None:
         rows = chosen.collect()
         return fit([r[0] for r in rows], np.array([r[1] for r in rows])) if rows else None
-    rows = sorted(_with_statistics(chosen, statistics).collect())
+    rows = sorted(_with_statistics(chosen, statistics, training=True).collect())
     found = np.array([[np.nan if v is None else v for v in r[2:]] for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
     return fit([r[0] for r in rows], np.array([r[1] for r in rows]), statistics=np.nan_to_num(found)) if rows else None
 
