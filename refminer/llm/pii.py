@@ -9,28 +9,32 @@ several times faster than exponentials.
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refminer.llm import batches
+from refminer.llm.storage import ensure_checkpoint_dir
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 TAGS = 1 + 2 * len(KINDS)
 #: ASCII codes, all other characters, and what is outside a text.
 OTHER, VOCABULARY = 128, 129
 HIDDEN = 16
-CORE, MARGIN = 256, 28
-CHUNK = 1 << 18
+CORE, MARGIN = 768, 64
+CHUNK = 1 << 19
 #: Windows that are computed at a time, so that memory for states doesn't grow with a text.
-WINDOWS = 1024
+WINDOWS = 768
 
 _STOP = "the and of to in is that for with de la que el en les des et un der die und das von zu".split()
 _SYLLABLES = (
@@ -155,11 +159,6 @@ def _slope(gate: np.ndarray) -> np.ndarray:
     return 0.2 * ((gate > 0) & (gate < 1))
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 def loss_and_gradients(model: Model, chars: np.ndarray, tags: np.ndarray) -> tuple[float, Model]:
     """Mean negative log-likelihood of the tags of windows (rows x width) and its gradients by backpropagation through time."""
     rows, width = chars.shape
@@ -178,45 +177,53 @@ def loss_and_gradients(model: Model, chars: np.ndarray, tags: np.ndarray) -> tup
         states[t + 1] = o * _squash(cells[t + 1])
     hidden = np.concatenate([states[1:, 0], states[:0:-1, 1]], axis=-1)
     scores = hidden @ model.wo + model.bo
-    alpha = np.empty_like(scores)
-    alpha[0] = scores[0]
-    for t in range(1, width):
-        alpha[t] = _logsumexp(alpha[t - 1][:, :, None] + model.trans, 1) + scores[t]
-    beta = np.zeros_like(scores)
+    # forward and backward weights of the CRF, each step scaled to sum 1; the scales add up to log_z
+    top = scores.max(axis=-1, keepdims=True)
+    weight, turn = np.exp(scores - top), np.exp(model.trans)
+    alpha, beta, scale = np.empty_like(scores), np.ones_like(scores), np.empty((width, rows, 1))
+    for t in range(width):
+        alpha[t] = weight[t] if t == 0 else (alpha[t - 1] @ turn) * weight[t]
+        scale[t] = alpha[t].sum(axis=1, keepdims=True)
+        alpha[t] /= scale[t]
+    ahead = weight / scale
     for t in range(width - 2, -1, -1):
-        beta[t] = _logsumexp(model.trans + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
-    log_z = _logsumexp(alpha[-1], 1)
+        beta[t] = (ahead[t + 1] * beta[t + 1]) @ turn.T
+    log_z = (np.log(scale) + top).sum(axis=0)[:, 0]
     at = np.arange(rows)
     steps = tags.T
     gold = scores[np.arange(width)[:, None], at, steps].sum(0) + model.trans[steps[:-1], steps[1:]].sum(0)
-    d_scores = np.exp(alpha + beta - log_z[None, :, None])
-    d_trans = np.zeros_like(model.trans)
-    for t in range(1, width):
-        d_trans += np.exp(alpha[t - 1][:, :, None] + model.trans + (scores[t] + beta[t] - log_z[:, None])[:, None, :]).sum(0)
+    d_scores = alpha * beta
+    d_trans = turn * (alpha[:-1].reshape(-1, TAGS).T @ (ahead[1:] * beta[1:]).reshape(-1, TAGS))
     np.add.at(d_trans, (steps[:-1].ravel(), steps[1:].ravel()), -1)
     d_scores[np.arange(width)[:, None], at, steps] -= 1
     d_hidden = d_scores @ model.wo.T
     d_wo = hidden.reshape(-1, 2 * h_size).T @ d_scores.reshape(-1, TAGS)
     d_states = np.stack([d_hidden[:, :, :h_size], d_hidden[::-1, :, h_size:]], axis=1)
-    d_wx, d_wh = np.zeros_like(model.wx), np.zeros_like(model.wh)
     d_h, d_c = np.zeros((2, rows, h_size)), np.zeros((2, rows, h_size))
-    d_z = np.empty((2, rows, 4 * h_size))
+    d_z = np.empty((width, 2, rows, 4 * h_size))
+    squashed = _squash(cells[1:])
+    bend = (1 - np.abs(squashed)) ** 2
+    slopes = np.concatenate([_slope(gates[..., : 3 * h_size]), (1 - np.abs(gates[..., 3 * h_size :])) ** 2], axis=-1)
+    back = model.wh.transpose(0, 2, 1)
     for t in range(width - 1, -1, -1):
         i, f, o, g = np.split(gates[t], 4, axis=-1)
         d_h = d_h + d_states[t]
-        squashed = _squash(cells[t + 1])
-        d_c = d_c + d_h * o * (1 - np.abs(squashed)) ** 2
-        d_z[..., :h_size] = d_c * g * _slope(i)
-        d_z[..., h_size : 2 * h_size] = d_c * cells[t] * _slope(f)
-        d_z[..., 2 * h_size : 3 * h_size] = d_h * squashed * _slope(o)
-        d_z[..., 3 * h_size :] = d_c * i * (1 - np.abs(g)) ** 2
-        for d in range(2):
-            one_hot = np.zeros((VOCABULARY, rows))
-            one_hot[both[d, t], at] = 1
-            d_wx[d] += one_hot @ d_z[d]
-        d_wh += states[t].transpose(0, 2, 1) @ d_z
-        d_h = d_z @ model.wh.transpose(0, 2, 1)
+        d_c = d_c + d_h * o * bend[t]
+        own = d_z[t]
+        own[..., :h_size] = d_c * g
+        own[..., h_size : 2 * h_size] = d_c * cells[t]
+        own[..., 2 * h_size : 3 * h_size] = d_h * squashed[t]
+        own[..., 3 * h_size :] = d_c * i
+        own *= slopes[t]
+        d_h = own @ back
         d_c = d_c * f
+    d_wx, d_wh = np.zeros_like(model.wx), np.zeros_like(model.wh)
+    for d in range(2):
+        flat = d_z[:, d].reshape(-1, 4 * h_size)
+        one_hot = np.zeros((len(flat), VOCABULARY))
+        one_hot[np.arange(len(flat)), both[d].ravel()] = 1
+        d_wx[d] = one_hot.T @ flat
+        d_wh[d] = states[:-1, d].reshape(-1, h_size).T @ flat
     found = Model(d_wx, d_wh, d_wo, d_scores.sum((0, 1)), d_trans)
     for array in found.arrays():
         array /= rows
@@ -249,15 +256,33 @@ def default_model() -> Model:
     return train()
 
 
+def stored_model(spark: SparkSession) -> Model:
+    """default_model, read from the shared folder if an earlier driver has trained and written it there."""
+    key = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]
+    folder = f"{ensure_checkpoint_dir(spark)}/../refminer-pii-{key}"
+    try:
+        rows = spark.read.parquet(folder).collect()
+    except AnalysisException:  # not there
+        rows = []
+    if len(rows) == len(fields(Model)):
+        found = {r.name: np.array(r.weights).reshape(r.shape) for r in rows}
+        return Model(**found)
+    model = default_model()
+    weights = [(f.name, list(a.shape), a.ravel().tolist()) for f, a in zip(fields(Model), model.arrays(), strict=True)]
+    spark.createDataFrame(weights, "name string, shape array<int>, weights array<double>").coalesce(1).write.mode("overwrite").parquet(folder)
+    return model
+
+
 class Tagger:
     def __init__(self, model: Model) -> None:
         h = model.wh.shape[1]
         scale, shift = np.ones(4 * h), np.zeros(4 * h)
         scale[: 3 * h], shift[: 3 * h] = 0.2, 0.5  # the linear part of the gates, once instead of at every character
         self.hidden = h
-        self.wx = np.ascontiguousarray((model.wx * scale + shift).transpose(0, 2, 1), np.float32)
-        self.wh = np.ascontiguousarray((model.wh * scale).transpose(0, 2, 1), np.float32)
-        self.wo, self.bo = np.ascontiguousarray(model.wo.T, np.float32), model.bo.astype(np.float32)
+        # a table and a matrix for each direction and gate: rows of a table are copied whole, and each gate is one block of memory
+        self.wx = np.ascontiguousarray((model.wx * scale + shift).reshape(2, VOCABULARY, 4, h).transpose(0, 2, 1, 3), np.float32)
+        self.wh = np.ascontiguousarray((model.wh * scale).reshape(2, h, 4, h).transpose(0, 2, 1, 3), np.float32)
+        self.wo, self.bo = np.ascontiguousarray(model.wo, np.float32), model.bo.astype(np.float32)
         self.trans = model.trans
         around = model.trans.copy()
         around[0, 0] = -np.inf
@@ -265,30 +290,32 @@ class Tagger:
         self.gain = max(0.0, float(around.max() - model.trans[0, 0]), -float(model.trans[0, 0]))
 
     def _run(self, d: int, chars: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """States (step, hidden, window) of one direction; the windows are ordered by falling length, reach[t] of them have step t."""
+        """States (step, window, hidden) of one direction; the windows are ordered by falling length, reach[t] of them have step t."""
         h, steps, rows = self.hidden, len(reach), chars.shape[1]
-        out = np.zeros((steps, h, rows), np.float32)
-        state, cell = np.zeros((h, rows), np.float32), np.zeros((h, rows), np.float32)
-        wx, wh = self.wx[d], self.wh[d]
+        out = np.empty((steps, rows, h), np.float32)
+        state, cell, size = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32), np.empty((rows, h), np.float32)
+        z, x = np.empty((4, rows, h), np.float32), np.empty((4, rows, h), np.float32)
         for t in range(steps):
-            n = reach[t]
-            if n < state.shape[1]:
-                state, cell = np.ascontiguousarray(state[:, :n]), np.ascontiguousarray(cell[:, :n])
-            z = wh @ state
-            z += np.take(wx, chars[t, :n], axis=1)
-            gates, candidate = z[: 3 * h], z[3 * h :]
+            n = int(reach[t])
+            if n < len(size):
+                state, cell, size, z, x = state[:n], cell[:n], size[:n], np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
+            for gate in range(4):
+                np.take(self.wx[d, gate], chars[t, :n], axis=0, out=x[gate], mode="clip")
+            np.matmul(state, self.wh[d], out=z)
+            z += x
+            gates, candidate = z[:3], z[3]
             np.clip(gates, 0, 1, out=gates)
-            size = np.abs(candidate)
+            np.abs(candidate, out=size)
             size += 1
             candidate /= size
-            cell *= z[h : 2 * h]
-            candidate *= z[:h]
+            candidate *= z[0]
+            cell *= z[1]
             cell += candidate
             np.abs(cell, out=size)
             size += 1
+            state = out[t, :n]
             np.divide(cell, size, out=state)
-            state *= z[2 * h : 3 * h]
-            out[t, :, :n] = state
+            state *= z[2]
         return out
 
     def scores(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -314,12 +341,17 @@ class Tagger:
         reach = np.searchsorted(-lengths, -steps, "left")
         last = len(codes) - 1
         h = self.hidden
-        forward = self.wo[:, :h] @ self._run(0, codes[np.minimum(first[None, :] + steps[:, None], last)], reach)
-        backward = self.wo[:, h:] @ self._run(1, codes[np.maximum(end[None, :] - 1 - steps[:, None], 0)], reach)
         n = core_end - core
         window = np.repeat(np.arange(len(n)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + core[window]
-        out[at] = forward[at - first[window], :, window] + backward[end[window] - 1 - at, :, window] + self.bo
+        rows = len(n)
+        forward = self._run(0, codes[np.minimum(first[None, :] + steps[:, None], last)], reach).reshape(-1, h)
+        score = forward[(at - first[window]) * rows + window] @ self.wo[:h]
+        del forward
+        backward = self._run(1, codes[np.maximum(end[None, :] - 1 - steps[:, None], 0)], reach).reshape(-1, h)
+        score += backward[(end[window] - 1 - at) * rows + window] @ self.wo[h:]
+        score += self.bo
+        out[at] = score
 
     def decode(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Best tags of each row under the transitions."""
@@ -389,7 +421,7 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null and empty texts have no span, a null doc_id stays null, repeated rows each give their spans, other columns are
     ignored. Of long texts all windows are read. The weights (some 80 KB) go along with the function.
     """
-    weights = default_model() if model is None else model
+    weights = stored_model(docs.sparkSession) if model is None else model
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(weights)
@@ -415,7 +447,7 @@ def mask_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     All rows, columns and their types stay. Null texts stay null.
     """
-    weights = default_model() if model is None else model
+    weights = stored_model(docs.sparkSession) if model is None else model
     columns = docs.columns
 
     def replace(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

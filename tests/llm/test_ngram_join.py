@@ -84,18 +84,9 @@ def test_many_buckets_give_the_same(make_docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 50)
     monkeypatch.setattr(ngram_join, "COLUMNS", 8)
     docs, want = make_docs(texts), brute(texts, 0.5)
-    for grams_of_a_tile in (1 << 19, 2000, 600):
-        monkeypatch.setattr(ngram_join, "TILE_GRAMS", grams_of_a_tile)
-        assert expanded(ngram_join.similar_documents(docs).collect()).keys() == want.keys()
-        found = ngram_join.similarity_classes(docs).collect()
-        assert len(found) == len({r.doc_id for r in found}) and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes(want)
-
-
-@pytest.mark.parametrize("t", [0.5, 0.8])
-def test_classes_and_links_equal_brute_force(make_docs, t):
-    texts = corpus(12, 150)
-    found = ngram_join.similarity_classes(make_docs(texts), threshold=t).collect()
-    assert found and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes(brute(texts, t))
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", 1500)
+    found = ngram_join.similarity_classes(docs).collect()
+    assert len(found) == len({r.doc_id for r in found}) and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes(want)
 
 
 def test_a_cluster_larger_than_a_tile(make_docs):
