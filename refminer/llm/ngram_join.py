@@ -6,8 +6,9 @@ the same prefix and size form one group; groups of about one size with the same
 block. Blocks meet in an inverted index of
 prefixes, split by hash so that a task holds a bounded part; for each pair of blocks the n-grams that their groups'
 prefixes share are counted, and pairs whose groups can't reach the threshold with that many are dropped. What is left is
-expanded to the groups' distinct sets and verified on whole sets: blocks that are alike are dealt out to tiles of a
-bounded number of n-grams, and in each pair of tiles the sizes of all intersections are one matrix product.
+expanded to the groups' distinct sets, of which those that bitmaps of their n-grams rule out go, and verified on whole sets:
+blocks that are alike are dealt out to tiles of a bounded number of n-grams, and in each pair of tiles the sizes of all
+intersections are one matrix product.
 
 A pair of documents is never a row of a shuffle: of a tile only the number of links of each set and a star that connects
 the same sets come out. Texts don't move either; the sets that passed the filter do, as 48-bit hashes. Copies (equal sets)
@@ -44,6 +45,8 @@ PAIRS_AT_ONCE = 4_000_000
 #: of the matrices that are multiplied at a time.
 TILE_GRAMS, SET_GRAMS = 1 << 19, 512
 COLUMNS = 2048
+#: Bits of the bitmap of a set.
+BITS = 2048
 #: Bits of the Bloom filter by which sets that no tile asks for are left where they are; whatever passes is joined exactly.
 BLOOM_BITS = 1 << 26
 
@@ -259,21 +262,24 @@ def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, he
 
 
 def _described(docs: DataFrame, n: int, order: np.ndarray, heavy: np.uint64) -> DataFrame:
-    """doc_id, node (hash of the whole set), block and size of every document with a word; rows that share doc_id and set are one."""
+    """doc_id, node (hash of the whole set), block, size and bits (which of BITS hashes its n-grams have) of every row with a word."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            rows, nodes, blocks, sizes = [], [], [], []
+            rows, nodes, blocks, sizes, bits = [], [], [], [], []
             for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
                 rows.append(row)
                 nodes.append(_hash64(keys.tobytes()))
                 blocks.append(_block(keys, heavy))
                 sizes.append(len(keys))
+                present = np.zeros(BITS, bool)
+                present[(batches.mix(keys) % np.uint64(BITS)).astype(np.int64)] = True
+                bits.append(np.packbits(present).tobytes())
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "node", "block", "size"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "node", "block", "size", "bits"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, node bigint, block bigint, size bigint").distinct()
+    return docs.mapInArrow(describe, "doc_id bigint, node bigint, block bigint, size bigint, bits binary")
 
 
 def _bloom_places(nodes: np.ndarray, ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -364,17 +370,50 @@ def _shared_grams(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a tile to be compared: side 0 with side 1, or those of side 2 with each other."""
+    side = table.column("side").to_numpy()
+    if (side == 2).any():
+        return np.flatnonzero(side == 2), np.flatnonzero(side == 2), True
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
+
+
+def prune_tile(table: pa.Table, threshold: float) -> pa.Table:
+    """a, b: the pairs of blocks of which some sets may reach the threshold by their bitmaps, and with a null b the nodes of these sets.
+
+    An n-gram whose bit the other set lacks is not in it: the n-grams of a set in common with another are at most its size
+    less the bits that it alone has.
+    """
+    x, y, alone = _sides(table)
+    node, block, size = (table.column(c).to_numpy() for c in ("node", "block", "size"))
+    bits = np.unpackbits(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(np.float32)
+    count = bits.sum(axis=1)
+    pairs, kept = [np.zeros((0, 2), np.int64)], np.zeros(len(node), bool)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+    for k in range(0, len(x), step):
+        some = x[k : k + step]
+        both = bits[some] @ bits[y].T
+        shared = np.minimum((size[some] - count[some])[:, None] + both, (size[y] - count[y])[None, :] + both)
+        a, b = np.nonzero(shared >= threshold / (1 + threshold) * (size[some][:, None] + size[y][None, :]) - 1e-3)
+        a, b = some[a], y[b]
+        differ = node[a] < node[b] if alone else node[a] != node[b]
+        a, b = a[differ], b[differ]
+        kept[a] = kept[b] = True
+        pairs.append(np.unique(np.stack([np.minimum(block[a], block[b]), np.maximum(block[a], block[b])], axis=1), axis=0))
+    pair = np.unique(np.concatenate(pairs), axis=0)
+    alive = node[kept]
+    return pa.table({"a": np.concatenate([pair[:, 0], alive]), "b": pa.array(np.concatenate([pair[:, 1], alive]), mask=np.arange(len(pair) + len(alive)) >= len(pair))})
+
+
 def verify_tile(table: pa.Table, threshold: float, listed: bool) -> pa.Table:
-    """The pairs of sets (side 0 against side 1; those of side 2 against each other) that reach the threshold.
+    """The pairs of sets that reach the threshold.
 
     With listed one row each (a, b, jaccard); otherwise a row for each set that has a link: a, the least set b that it is
     connected to by links of this tile, and the copies of all its partners.
     """
-    side = table.column("side").to_numpy()
+    x, y, alone = _sides(table)
     node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
     grams = table.column("grams").to_pylist()
-    alone = bool((side == 2).any())
-    x, y = (np.flatnonzero(side == 2),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     size = np.array([len(g) // 6 for g in grams], np.int64)
     found_a, found_b, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
@@ -403,47 +442,60 @@ def verify_tile(table: pa.Table, threshold: float, listed: bool) -> pa.Table:
     return pa.table({"a": node[linked], "b": root[linked], "value": links[linked].astype(np.float64)})
 
 
-def _similar_nodes(docs: DataFrame, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, node; nodes: node, doc_id (the least), copies; what verify_tile finds: a, b, value), all kept in the shared folder."""
-    docs = batches.with_doc_columns(docs).filter("doc_id is not null and text is not null")
-    docs = docs.select("doc_id", F.lower("text").alias("text"))
-    counts = gram_sketch(docs, n)
-    order = _rank(counts)
-    usual = float(np.median(counts))
-    heavy = _rank(np.array([usual + 6 * math.sqrt(usual)]))[0]
-    buckets = max(1, math.ceil(counts.sum() * (1 - threshold) / BUCKET_ENTRIES))
-    described = cut(_described(docs, n, order, heavy))
-    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("block").alias("block"), F.first("size").alias("size")))
-    own = nodes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
-    pairs = cut(_candidates(docs, n, threshold, order, heavy, buckets).unionByName(own))
-    # blocks that are alike have one home, the least of a block and its partners; a home's nodes are dealt out to tiles
+def _tiles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, copies, block, size, tile and side for nodes (node, copies, block, size): the nodes of each of the pairs of blocks (b1, b2)
+    meet in one tile, and any two nodes in one at most. Blocks that are alike have one home, the least of a block and its
+    partners; a home's nodes are dealt out to as many parts as their size asks for, and two parts make a tile."""
     ends = pairs.select(F.col("b1").alias("block"), F.col("b2").alias("other")).unionByName(pairs.select(F.col("b2").alias("block"), F.col("b1").alias("other")))
     homes = ends.groupBy("block").agg(F.least(F.min("other"), F.first("block")).alias("home"))
-    placed = cut(nodes.join(homes, "block").select("block", "home", "node", "doc_id", "copies", "size"))
+    placed = cut(nodes.join(homes, "block").select("block", "home", "node", "copies", "size"))
     shares = placed.groupBy("home").agg(F.ceil(F.sum(F.col("size") + SET_GRAMS) / TILE_GRAMS).cast("int").alias("tiles"))
     first = homes.select(F.col("block").alias("b1"), F.col("home").alias("h1"))
     second = homes.select(F.col("block").alias("b2"), F.col("home").alias("h2"))
     met = pairs.join(first, "b1").join(second, "b2").select("b1", "b2", F.least("h1", "h2").alias("x"), F.greatest("h1", "h2").alias("y"))
     asked = met.select(F.col("b1").alias("block"), "x", "y").unionByName(met.select(F.col("b2").alias("block"), "x", "y")).distinct()
-    tiles = shares.select(F.col("home").alias("x"), F.col("tiles").alias("nx")), shares.select(F.col("home").alias("y"), F.col("tiles").alias("ny"))
-    sides = asked.join(tiles[0], "x").join(tiles[1], "y").join(placed.select("block", "home", "node", "copies"), "block")
-    part = F.pmod(F.xxhash64("node"), F.when(F.col("home") == F.col("x"), F.col("nx")).otherwise(F.col("ny"))).cast("int")
-    sides = sides.withColumn("part", part)
-    others = F.sequence(F.lit(0), F.when(F.col("home") == F.col("x"), F.col("ny")).otherwise(F.col("nx")) - 1)
-    sides = sides.select("x", "y", "home", "node", "copies", "part", F.explode(others).alias("other"))
+    parts = shares.select(F.col("home").alias("x"), F.col("tiles").alias("nx")), shares.select(F.col("home").alias("y"), F.col("tiles").alias("ny"))
+    sides = asked.join(parts[0], "x").join(parts[1], "y").join(placed, "block")
+    left = F.col("home") == F.col("x")
+    sides = sides.withColumn("part", F.pmod(F.xxhash64("node"), F.when(left, F.col("nx")).otherwise(F.col("ny"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(left, F.col("ny")).otherwise(F.col("nx")) - 1)
+    sides = sides.select("*", F.explode(others).alias("other"))
     same = F.col("x") == F.col("y")
     swap = F.when(same, F.col("part") > F.col("other")).otherwise(F.col("home") == F.col("y"))
-    located = sides.select(
+    return sides.select(
         "node",
         "copies",
+        "block",
+        "size",
         F.xxhash64("x", "y", F.when(swap, F.col("other")).otherwise(F.col("part")), F.when(swap, F.col("part")).otherwise(F.col("other"))).alias("tile"),
         F.when(same & (F.col("part") == F.col("other")), F.lit(2)).otherwise(swap.cast("int")).alias("side"),
     )
-    held = _sets(docs, placed.select("node", "doc_id"), n, order).groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def _similar_nodes(docs: DataFrame, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, node; nodes: node, doc_id (the least), copies; what verify_tile finds: a, b, value), all kept in the shared folder."""
+    docs = batches.with_doc_columns(docs).filter("doc_id is not null and text is not null")
+    docs = docs.select("doc_id", F.lower("text").alias("text"))
+    counts = gram_sketch(docs, n)
+    order = _rank(counts)
+    usual = float(np.median(counts))
+    heavy = _rank(np.array([usual + 6 * math.sqrt(usual)]))[0]
+    buckets = max(1, math.ceil(counts.sum() * (1 - threshold) / BUCKET_ENTRIES))
+    described = cut(_described(docs, n, order, heavy))
+    nodes = described.select("doc_id", "node", "block", "size").distinct().groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("block").alias("block"), F.first("size").alias("size"))
+    nodes = cut(nodes)
+    own = nodes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
+    pairs = cut(_candidates(docs, n, threshold, order, heavy, buckets).unionByName(own))
+    bits = described.select("node", "doc_id", "bits").join(nodes.select("node", "doc_id"), ["node", "doc_id"]).groupBy("node").agg(F.first("bits").alias("bits"))
+    rough = _tiles(pairs, nodes).join(bits, "node").select("tile", "side", "node", "block", "size", "bits")
+    kept = cut(rough.groupBy("tile").applyInArrow(lambda table: prune_tile(table, threshold), "a bigint, b bigint"))
+    pairs = cut(kept.filter("b is not null").select(F.col("a").alias("b1"), F.col("b").alias("b2")).distinct())
+    wanted = cut(nodes.join(kept.filter("b is null").select(F.col("a").alias("node")).distinct(), "node"))
+    located = _tiles(pairs, wanted.drop("doc_id")).select("tile", "side", "node", "copies")
+    held = _sets(docs, wanted.select("node", "doc_id"), n, order).groupBy("node").agg(F.first("grams").alias("grams"))
     rows = held.join(located, "node").select("tile", "side", "node", "copies", "grams")
     found = cut(rows.groupBy("tile").applyInArrow(lambda table: verify_tile(table, threshold, listed), "a bigint, b bigint, value double"))
-    release(pairs, placed)
-    return described.select("doc_id", "node"), nodes.select("node", "doc_id", "copies"), found
+    return described.select("doc_id", "node").distinct(), nodes.select("node", "doc_id", "copies"), found
 
 
 def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
