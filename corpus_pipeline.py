@@ -1,4 +1,10 @@
-"""Corpus pipeline: five operators of refminer.llm over the table documents, each stage written as Parquet and read again."""
+"""Corpus pipeline: five operators of refminer.llm over the table documents, each stage written as Parquet and read again.
+
+Null and empty texts pass the first stage if the model rates texts without words high enough, and all others; packing gives
+them no row. Rows with a null doc_id are judged by their own text; the join takes no part in them. Repeated rows stay
+repeated, but for those of one doc_id that the join drops together. Further columns, whatever their names, go along up to
+the last stage. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,15 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from refminer.llm.decontamination import decontaminate
 from refminer.llm.ngram_join import drop_similar
 from refminer.llm.packing import pack_documents
 from refminer.llm.pii import mask_pii
 from refminer.llm.quality_classifier import graded, select_quality, train
-from refminer.llm.storage import ensure_checkpoint_dir
+from refminer.llm.storage import ensure_checkpoint_dir, remove
+from refminer.llm.token_counts import count_tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,8 +47,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 words: doc_id, piece, start, n_tokens, window_id, offset."""
-    return pack_documents(docs)
+    """The pieces of all documents in windows of 2048 tokens: doc_id, piece, start, n_tokens, window_id, offset."""
+    return pack_documents(count_tokens(docs), length=F.col("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -56,11 +64,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents in turn; their results lie in the shared checkpoint folder."""
+    """The stages applied to documents in turn. Their results lie in the shared checkpoint folder, each until the next is written; the last one's stays."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
