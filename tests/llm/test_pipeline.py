@@ -10,7 +10,7 @@ import pytest
 from conftest import SCHEMA, prose
 
 import corpus_pipeline
-from refminer.llm import pii, queries
+from refminer.llm import pii, queries, token_counts
 
 
 def words(text):
@@ -101,7 +101,9 @@ def test_stages_equal_brute_force(spark, tables):
     for r in kept["packing"]:
         pieces[r.doc_id].append((r.start, r.n_tokens))
         windows[r.window_id] += r.n_tokens
-    assert {k: sum(n for _, n in p) for k, p in pieces.items()} == {k: len(t.split()) for k, t in fourth.items() if t and t.split()}
+    vocabulary = token_counts.build(token_counts.read_vocabulary(token_counts.VOCABULARY))
+    tokens = {k: int(vocabulary.count([w.encode() for w in token_counts.split_words(t)]).sum()) for k, t in fourth.items() if t}
+    assert {k: sum(n for _, n in p) for k, p in pieces.items()} == {k: n for k, n in tokens.items() if n}
     total = sum(windows.values())
     assert max(windows.values()) <= 2048 and len(windows) == -(-total // 2048)
 
@@ -121,3 +123,16 @@ def test_query_equals_sql(spark, tables, name):
     plain = lambda v: round(v, 9) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
     want = sorted((tuple(plain(r[columns.index(c)]) for c in df.columns) for r in found.fetchall()), key=repr)
     assert want and sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
+
+
+def test_odd_tables(spark, tables, tmp_path, make_docs, odd_texts):
+    """Nulls, repeats, further columns and no rows at all go through every stage."""
+    folder = tables[0]
+    for name, docs in (("odd", make_docs(odd_texts, clashing=True)), ("none", make_docs([]))):
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            if stage_name == "packing":
+                assert out.columns == ["doc_id", "piece", "start", "n_tokens", "window_id", "offset"] and (out.count() > 0) == (name == "odd")
+            else:
+                assert out.columns == docs.columns and out.count() <= docs.count()
+                docs = spark.createDataFrame(out.collect(), docs.schema)
