@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
-ABBREVIATION = r"(?:^|\s)(?:e\.g|i\.e|Fig|Figs|et al|vs|Dr|Prof|cf|no|approx)\.$"
+ABBREVIATION = r"(?:^|\s)(?:e\.g|i\.e|Fig|Figs|et al|vs|Dr|Prof|cf|no|approx)\."
+SENTENCE_END = rf"(?<=[.!?])(?<!{ABBREVIATION})\s+(?=[A-Z])"
 CONTEXT_LIMITS = {"gpt": 128_000, "claude": 200_000, "gemini": 1_000_000}
 
 
 def sentences(text: Column) -> Column:
     """Sentences; a break after an abbreviation is none."""
-    pieces = F.split(text, SENTENCE_END)
-
-    def step(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", last, piece)))
-        return F.when((F.size(done) > 0) & F.get(done, F.size(done) - 1).rlike(ABBREVIATION), joined).otherwise(F.concat(done, F.array(piece)))
-
-    # most texts have no abbreviation: they need no fold
-    return F.when(text.rlike(r"(?:e\.g|i\.e|Figs?|et al|vs|Dr|Prof|cf|no|approx)\.\s+[A-Z]"), F.aggregate(pieces, F.array().cast("array<string>"), step)).otherwise(pieces)
+    return F.split(text, SENTENCE_END)
 
 
 def sentences_with(text: Column, needle: Column) -> Column:
@@ -47,15 +44,55 @@ def character_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s, i: F.struct((i + 1).alias("chunk_id"), s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("text")))
 
 
+def pack(pieces: Iterable[str], budget: int, cost: int = 4, glue: str = " ") -> list[str]:
+    """Neighbouring pieces joined as long as their length over cost stays within budget; a longer piece is alone."""
+    out: list[list[str]] = []
+    size = 0
+    for piece in pieces:
+        if out and (size + len(piece) + len(glue)) // cost <= budget:
+            out[-1].append(piece)
+            size += len(piece) + len(glue)
+        else:
+            out.append([piece])
+            size = len(piece)
+    return [glue.join(p) for p in out]
+
+
 def packed(pieces: Column, budget: int, cost: int = 4, glue: str = " ") -> Column:
-    """Neighbouring pieces joined as long as their lengths over cost stay within budget; a longer piece is alone."""
+    """pack() of an array of strings, in Arrow batches: a fold in an expression would copy the array at each step. A null gives none."""
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: [] if p is None else pack([x for x in p if x is not None], budget, cost, glue))
+
+    return run(pieces)
+
+
+def packed_paragraphs(paragraphs: Column, budget: int) -> Column:
+    """The paragraphs of an array, those over the budget (of tokens of four characters) as packed sentences."""
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        def one(listed: Any) -> list[str]:
+            return [c for p in ([] if listed is None else listed) if p is not None for c in ([p] if len(p) // 4 <= budget else pack(split_sentences(p), budget))]
+
+        return column.map(one)
+
+    return run(paragraphs)
+
+
+_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z])", re.A)
+_SHORT = re.compile(rf"{ABBREVIATION}$", re.A)
 
-    def step(done: Column, piece: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (F.floor((F.length(last) + F.length(piece) + len(glue)) / cost) <= budget)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(glue, last, piece)))).otherwise(F.concat(done, F.array(piece)))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+def split_sentences(text: str) -> list[str]:
+    """sentences() of one text."""
+    out, first = [], 0
+    for m in _END.finditer(text):
+        if not _SHORT.search(text, max(0, m.start() - 16), m.start()):
+            out.append(text[first : m.start()])
+            first = m.end()
+    return [*out, text[first:]]
 
 
 def merge_line_breaks(text: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+from typing import Any, Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refminer.functions.identifiers import PMC_ROOT, extract
@@ -49,3 +53,66 @@ def summary(asked: DataFrame, answers: DataFrame) -> DataFrame:
 def article_of_result(custom_id: Column) -> Column:
     """The PMC page that a custom_id names, null for none."""
     return F.concat(F.lit(PMC_ROOT), extract(F.upper(custom_id), r"(PMC\d+)", 1))
+
+
+class Provider(Protocol):
+    """Somewhere that takes files of requests and gives files of results. What lies behind it is the caller's."""
+
+    def submit(self, lines: list[str], description: str) -> str: ...
+
+    def status(self, batch_id: str) -> dict[str, Any]: ...
+
+    def results(self, batch_id: str) -> list[str]: ...
+
+
+class LocalProvider:
+    """Answers every request at once by a function from prompts to answers; for tests and offline use."""
+
+    def __init__(self, answer: Callable[[list[str]], list[str | None]]) -> None:
+        self.answer, self.jobs = answer, {}  # type: ignore[var-annotated]
+
+    def submit(self, lines: list[str], description: str) -> str:
+        batch_id = f"batch-{len(self.jobs)}"
+        requests_ = [json.loads(x) for x in lines]
+        said = self.answer([r["body"]["input"][-1]["content"] for r in requests_])
+        self.jobs[batch_id] = [
+            json.dumps({"custom_id": r["custom_id"], "error": None if a is not None else "no answer", "response": {"body": {"output": [] if a is None else [{"type": "message", "content": [{"text": a}]}]}}})
+            for r, a in zip(requests_, said, strict=True)
+        ]
+        return batch_id
+
+    def status(self, batch_id: str) -> dict[str, Any]:
+        known = batch_id in self.jobs
+        return {"id": batch_id, "status": "completed" if known else "not_found", "request_counts": {"total": len(self.jobs.get(batch_id, []))}}
+
+    def results(self, batch_id: str) -> list[str]:
+        return list(self.jobs[batch_id])
+
+
+def submit(lines: DataFrame, provider: Provider, description: str = "", most_bytes: int = 200_000_000, column: str = "line") -> list[str]:
+    """Hands requests over in parts of at most most_bytes, read one after the other, without their metadata; the batch ids."""
+    ids, part, size = [], [], 0
+    for row in lines.select(F.regexp_replace(column, r',"metadata":\{[^{}]*\}(?=\}$)', "").alias(column)).filter(F.col(column).isNotNull()).toLocalIterator():
+        length = len(row[0].encode()) + 1
+        if part and size + length > most_bytes:
+            ids.append(provider.submit(part, description))
+            part, size = [], 0
+        part.append(row[0])
+        size += length
+    return [*ids, provider.submit(part, description)] if part else ids
+
+
+def statuses(spark: SparkSession, provider: Provider, batch_ids: list[str]) -> DataFrame:
+    """batch_id, status and requests of each batch."""
+    found = [(i, provider.status(i)) for i in batch_ids]
+    return spark.createDataFrame([(i, str(s.get("status")), int((s.get("request_counts") or {}).get("total", 0))) for i, s in found], "batch_id string, status string, requests bigint")
+
+
+def download(spark: SparkSession, provider: Provider, batch_ids: list[str], path: str) -> DataFrame:
+    """Writes the result lines of the batches that have ended to path and reads them back, as batch_id and value; others are left for later."""
+    schema = "batch_id string, value string"
+    for batch_id in batch_ids:
+        if provider.status(batch_id).get("status") in ("completed", "cancelled", "expired"):
+            rows = [(batch_id, line) for line in provider.results(batch_id)]
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).dropDuplicates()

@@ -265,6 +265,83 @@ def html_paragraphs(docs: DataFrame) -> DataFrame:
     return _rows(docs, parse, "p_idx int, sec_type string, text string")
 
 
+def _bibliography(root: ET.Element) -> dict[str, str]:
+    """Text of each entry of a TEI bibliography by its id: authors, titles, date and number, joined by ', '."""
+    out = {}
+    for b in root.iter(TEI + "biblStruct"):
+        names = [" ".join(t for t in (plain(a.find(TEI + "forename")), plain(a.find(TEI + "surname"))) if t) for a in b.findall(f".//{TEI}analytic/{TEI}author/{TEI}persName")]
+        parts = [", ".join(n for n in names if n), plain(b.find(f".//{TEI}analytic/{TEI}title")), plain(b.find(f".//{TEI}monogr/{TEI}title")), plain(b.find(f".//{TEI}monogr/{TEI}imprint/{TEI}date")), plain(b.find(f".//{TEI}idno"))]
+        out[b.get("{http://www.w3.org/XML/1998/namespace}id") or ""] = ", ".join(p for p in parts if p)
+    return out
+
+
+def tei_paragraphs(docs: DataFrame, substitute: bool = False) -> DataFrame:
+    """key, p_idx, section_title and text of the paragraphs of TEI documents with at least five characters. The title is the head
+    of the nearest division that has one. With substitute, references to the bibliography give way to their entries' text."""
+
+    def parse(content: str, kind: str) -> list[tuple[Any, ...]]:
+        root = xml_tree(content)
+        entries = _bibliography(root) if substitute else {}
+        parents = {c: p for p in root.iter() for c in p}
+
+        def text(e: ET.Element) -> str:
+            own = entries.get((e.get("target") or "").lstrip("#")) if e.tag == TEI + "ref" else None
+            return own or "".join([e.text or "", *[text(c) + (c.tail or "") for c in e]])
+
+        out = []
+        for p in root.iter(TEI + "p"):
+            at = _near(p, parents, (TEI + "div",))
+            while at is not None and not plain(at.find(TEI + "head")):
+                at = _near(parents[at], parents, (TEI + "div",)) if at in parents else None
+            title = plain(at.find(TEI + "head")) if at is not None else "No Title"
+            words = " ".join(text(p).split())
+            if len(words) >= 5:
+                out.append((len(out), title, words))
+        return out
+
+    return _rows(docs, parse, "p_idx int, section_title string, text string")
+
+
+def pdf_text(pages: DataFrame) -> DataFrame:
+    """key and text of documents from the text of their pages (key, page, text), each in Unicode's composed compatibility form, joined in order by a line 'NewPage'."""
+
+    def compose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import unicodedata
+
+        for part in parts:
+            texts = [unicodedata.normalize("NFKC", t) if t else "" for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("page"), pa.array(texts, pa.string())], ["key", "page", "text"])
+
+    composed = pages.select(F.col("key").cast("string"), F.col("page").cast("bigint"), F.col("text").cast("string")).mapInArrow(compose, "key string, page bigint, text string")
+    ordered = composed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("_p"))
+    return ordered.select("key", F.array_join(F.transform("_p", lambda p: p["text"]), "\nNewPage\n").alias("text"))
+
+
+def pdf_sections(docs: DataFrame) -> DataFrame:
+    """key, sec_idx, section_title and text of documents (key, text): a heading line, as text.section_headings takes it, opens a section; what stands before the first has the title ''."""
+    from refminer.functions.text import section_headings
+
+    lines = docs.select(F.col("key").cast("string").alias("key"), section_headings(F.col("text")).alias("_h"), F.split("text", "\n").alias("_l"))
+    # the sections of a row are cut at its headings' places: no fold over its lines
+    at = F.filter(F.transform("_l", lambda x, i: F.when(F.array_contains("_h", x), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.when(F.get(at, F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), at)
+    cut = lines.withColumn("_s", starts).select("key", "_h", "_l", "_s", F.posexplode("_s").alias("sec_idx", "_a"))
+    end = F.coalesce(F.get("_s", F.col("sec_idx") + 1), F.size("_l"))
+    first = F.get("_l", F.col("_a"))
+    headed = F.array_contains("_h", first)
+    body = F.when(headed, F.slice("_l", F.col("_a") + 2, end - F.col("_a") - 1)).otherwise(F.slice("_l", F.col("_a") + 1, end - F.col("_a")))
+    return cut.select("key", "sec_idx", F.when(headed, F.trim(first)).otherwise("").alias("section_title"), F.trim(F.array_join(body, "\n")).alias("text"))
+
+
+def pdf_references(docs: DataFrame) -> DataFrame:
+    """key, ref_idx and text of the entries of the last section called References of documents (key, text)."""
+    from refminer.functions.text import split_references
+
+    found = pdf_sections(docs).filter(F.lower("section_title").rlike(r"^(\d+(\.\d+)*\.? )?references$"))
+    last = found.groupBy("key").agg(F.max_by("text", "sec_idx").alias("text"))
+    return last.select("key", F.posexplode(split_references(F.col("text"))).alias("ref_idx", "text"))
+
+
 def tables_of(docs: DataFrame) -> DataFrame:
     """key, table_idx, headers, rows (cells that aren't empty) and text of every table."""
 

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
     "ord int, repo string, repo_name string, id_pattern string, page_prefix string, page_template string, repo_mapping string, "
-    "repo_root string, default_suffix string, access_mode string, needs_browser boolean"
+    "repo_root string, default_suffix string, access_mode string, download_root string, needs_browser boolean"
 )
 
 _BIG, _ASK = "Complex download", "Application to access"
 
 
-def _entry(repo: str, name: str, page: str | None = None, ids: str | None = None, mode: str | None = None, **more: Any) -> dict[str, Any]:
+def _entry(repo: str, name: str | None, page: str | None = None, ids: str | None = None, mode: str | None = None, **more: Any) -> dict[str, Any]:
     return {"repo": repo, "repo_name": name, "page_template": page, "id_pattern": ids, "access_mode": mode, **more}
 
 
@@ -45,19 +45,60 @@ DEFAULT: tuple[dict[str, Any], ...] = (
     _entry("zenodo.org", "zenodo", "https://zenodo.org/{}", r"\b\d{7}\b"),
 )
 
+_DOI = "https://doi.org/{}"
+
+#: More repositories, most of them by the prefix of their DOIs.
+EXTENDED: tuple[dict[str, Any], ...] = (
+    *({**e, "id_pattern": None} if e["repo"] in ("ega-archive.org", "proteomecentral.proteomexchange.org") else e for e in DEFAULT[:9]),
+    _entry("cancerimagingarchive.net", "The Cancer Imaging Archive", _DOI),
+    _entry("imaging.datacommons.cancer.gov", "Imaging Data Commons", _DOI),
+    DEFAULT[11],
+    *(
+        _entry(f"doi.org/{prefix}", name, _DOI, pattern)
+        for prefix, name, pattern in (
+            ("10.5061", "Dryad", r"10\.5061/[^\s]+"),
+            ("10.5281", "Zenodo", r"10\.5281/[^\s]+"),
+            ("10.6084", "Figshare", r"10\.6084/[^\s]+"),
+            ("10.24433", "Mendeley Data", r"10\.24433/[^\s]+"),
+            ("10.17632", "Mendeley Data", r"10\.17632/[^\s]+"),
+            ("10.7910", "Dataverse", r"10\.7910/DVN[^\s]*"),
+            ("10.18112", "OpenNeuro", r"10\.18112/openneuro\.[^\s]+"),
+            ("10.1594", "PANGAEA", r"10\.1594/PANGAEA\.[^\s]+"),
+            ("10.21233", "Neotoma Paleoecology", r"10\.21233[^\s]+"),
+            ("10.3886", "ICPSR", r"10\.3886[^\s]+"),
+            ("10.7289", "NOAA NCEI", r"10\.7289[^\s]+"),
+            ("10.5255", "UK Data Service", r"10\.5255[^\s]+"),
+            ("10.6019", "EMPIAR", r"10\.6019[^\s]+|\bEMPIAR\-\d+\b"),
+        )
+    ),
+    _entry("doi.org", None, _DOI, r"10\.\d{4,9}/"),
+    _entry("geo", "Gene Expression Omnibus", "https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc={}", r"\b(?:GSE|GSM|GPL|GDS)\d+\b", _BIG),
+    DEFAULT[13],
+    _entry("sra", "Sequence Read Archive", "https://www.ncbi.nlm.nih.gov/sra/?term={}", r"\b(?:SRP|SRA|ERP|ERX)\d+\b", _BIG),
+    {**DEFAULT[15], "id_pattern": None},
+    DEFAULT[19],
+    DEFAULT[17],
+    {**DEFAULT[18], "id_pattern": r"(?<!\d)syn\d{7,12}(?!\d)"},
+    _entry("emdb", "Electron Microscopy Data Bank (EMDB)", "https://www.ebi.ac.uk/emdb/{}", r"\bEMD\-\d+\b"),
+    _entry("genbank", "GenBank", "https://www.ncbi.nlm.nih.gov/nuccore/{}", r"\b(?:MN\w+|NC_\d+|CP\w+|MT\w+)\b"),
+    _entry("metabolights", "MetaboLights", "https://www.ebi.ac.uk/metabolights/{}", r"\bMTBLS\d+\b"),
+    _entry("bioproject", "BioProject", "https://www.ncbi.nlm.nih.gov/bioproject/{}", r"\bPRJ(?:NA|EB|DB)\d+\b"),
+    _entry("github.com", "GitHub", "https://github.com/{}"),
+)
+
 #: Its pattern, seven digits, matches too much to search a text with.
 TOO_GENERAL = ("zenodo.org",)
 
 
 def load(source: str | tuple[dict[str, Any], ...] | None = None) -> list[dict[str, Any]]:
-    """Entries in order, from a JSON file {"repos": {...}}, from entries given, or the default ones."""
+    """Entries in order, from a JSON file {"repos": {...}}, from entries given, or the default ones. In a file's template __ID__ stands for the identifier."""
     entries = source
     if isinstance(source, str):
         with open(source, encoding="utf-8") as f:
             found = json.load(f)["repos"]
         entries = tuple(
             _entry(
-                key, v.get("repo_name"), (v.get("dataset_webpage_url_ptr") or "").replace("__ID__", "{}") or None, v.get("id_pattern"), v.get("access_mode"),
+                key, v.get("repo_name"), (v.get("dataset_webpage_url_ptr") or "").replace("__ID__", "{}") or None, v.get("id_pattern") or v.get("ID_pattern"), v.get("access_mode"), download_root=(v.get("download_root") or "").replace("__ID__", "{}") or None,
                 repo_mapping=v.get("repo_mapping"), repo_root=v.get("repo_root"), default_suffix=v.get("default_id_suffix"), needs_browser=v.get("javascript_load_required"),
             )
             for key, v in found.items()
@@ -66,7 +107,7 @@ def load(source: str | tuple[dict[str, Any], ...] | None = None) -> list[dict[st
     for k, e in enumerate(DEFAULT if entries is None else entries):
         template = e.get("page_template")
         prefix = template.split("{}")[0].lower() if template else None
-        out.append({"ord": k, "page_prefix": prefix, "needs_browser": bool(e.get("needs_browser"))} | {n: e.get(n) for n in ("repo", "repo_name", "id_pattern", "page_template", "repo_mapping", "repo_root", "default_suffix", "access_mode")})
+        out.append({"ord": k, "page_prefix": prefix, "needs_browser": bool(e.get("needs_browser"))} | {n: e.get(n) for n in ("repo", "repo_name", "id_pattern", "page_template", "repo_mapping", "repo_root", "default_suffix", "access_mode", "download_root")})
     return out
 
 

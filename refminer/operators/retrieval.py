@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +21,28 @@ def any_identifier(text: Column, source: Any = None) -> Column:
     return text.rlike("(?i)" + "|".join(f"(?:{p})" for _, p in ontology.search_patterns(source)))
 
 
+def _within_words(pattern: str) -> bool:
+    """Whether whatever a pattern matches has no white space, so that it can be looked for word by word."""
+    plain = re.sub(r"\\[.\-/:]|\[\^\\s\]|\\[wdb]|\(\?[:i!=<]+", "", pattern)
+    return not re.search(r"[\s.\\]|\[\^", plain)
+
+
 def identifier_mentions(docs: DataFrame, text: str = "text", source: Any = None) -> DataFrame:
     """docs' other columns, repo and mention of every identifier in a text, in the ontology's order; repeats stay.
 
-    A text is searched for single patterns only if it has any identifier at all.
+    One pass over a text finds the words that have any identifier; single patterns are searched for in these alone.
     """
     patterns = ontology.search_patterns(source)
 
-    def hits_of(repo: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(repo).alias("repo"), m.alias("mention")))
+    def hits_of(where: Column, repo: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(where, F.lit(f"(?i)({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(repo).alias("repo"), m.alias("mention")))
 
-    found = F.concat(*[hits_of(repo, p) for repo, p in patterns])
-    hits = docs.filter(any_identifier(F.col(text), source)).withColumn("_m", F.explode(found))
+    if all(_within_words(p) for _, p in patterns):
+        words = F.filter(F.split(F.col(text), r"\s+"), lambda w: any_identifier(w, source))
+        searched = docs.withColumn("_w", F.array_join(words, " ")).filter(F.length("_w") > 0)
+    else:
+        searched = docs.withColumn("_w", F.col(text)).filter(any_identifier(F.col(text), source))
+    hits = searched.withColumn("_m", F.explode(F.concat(*[hits_of(F.col("_w"), repo, p) for repo, p in patterns])))
     return hits.select(*[c for c in docs.columns if c != text], "_m.repo", "_m.mention")
 
 
@@ -124,16 +136,23 @@ def embed(rows: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
     """rows with embedding: signed hashed counts of lower-cased words, of length 1; a text without words gives zeros, a null gives null.
 
     A stand-in for a sentence model that needs no weights; any column of vectors of one length serves the search as well.
+    Words are hashed by Spark and added up in Arrow batches.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(F.filter(hashed, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)),
-    )
-    raw = rows.withColumn("_raw", F.when(F.col(text).isNotNull(), counts))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("_norm", norm).withColumn("embedding", F.transform("_raw", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_raw", "_norm")
+
+    @F.pandas_udf("array<double>")
+    def add(hashes: pd.Series) -> pd.Series:
+        def one(own: Any) -> Any:
+            if own is None:
+                return None
+            h = np.asarray(own, np.int64)
+            total = np.bincount(np.mod(h, dims), np.where((h >> 40) % 2 == 0, 1.0, -1.0), minlength=dims)
+            norm = np.sqrt((total * total).sum())
+            return total / norm if norm > 0 else total
+
+        return hashes.map(one)
+
+    return rows.withColumn("embedding", add(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def top_chunks(chunks: DataFrame, query: list[float], k: int, key: str = "key", chunk: str = "chunk_key") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refminer.functions.identifiers import download_link, null_if_sentinel
-from refminer.functions.text import packed, sentences
+from refminer.functions.text import packed_paragraphs
 from refminer.operators import extraction, markup, ontology, resolve, retrieval
 from refminer.operators.tables import dedup_items, drop_incomplete
 
@@ -33,10 +33,8 @@ def citations_from_text(docs: DataFrame, source: Any = None) -> DataFrame:
 
 def chunks_of(sections: DataFrame, budget: int = 512) -> DataFrame:
     """key, section_title, sec_type, kind, chunk_key and text: paragraphs, over the budget split into packed sentences; then tables."""
-    pieces = F.transform(
-        F.col("paragraphs"), lambda p: F.when(F.floor(F.length(p) / 4) <= budget, F.array(p)).otherwise(packed(sentences(p), budget))
-    )
-    with_tables = F.concat(F.flatten(pieces), F.when(F.length("tables") > 0, F.array("tables")).otherwise(F.array().cast("array<string>")))
+    pieces = packed_paragraphs(F.col("paragraphs"), budget)
+    with_tables = F.concat(pieces, F.when(F.length("tables") > 0, F.array("tables")).otherwise(F.array().cast("array<string>")))
     rows = sections.select("key", "sec_idx", "section_title", "sec_type", "kind", F.posexplode(with_tables).alias("chunk_id", "text"))
     return rows.withColumn("chunk_key", F.concat_ws("/", "key", "sec_idx", "chunk_id"))
 

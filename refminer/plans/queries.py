@@ -241,12 +241,6 @@ def page_publication_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(ids.publication_ids(html)).alias("publication"))
 
 
-@query()
-def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup is parsed in Python; tests compare it with fixtures."""
-    return markup.html_paragraphs(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.col("html").alias("content")))
-
-
 @query(r"SELECT page_id, regexp_matches(html, '(?i)href=[\"''][^\"'']*(login|signin|sign-in)') OR regexp_matches(html, '(?i)(please|must) (log|sign) ?in') OR length(trim(html)) < 500 AS login_required FROM pages".replace('\\"', '"'))
 def login_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", references.login_required(F.col("html")).alias("login_required"))
@@ -266,12 +260,6 @@ def character_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", "start", F.md5("text").alias("digest"))
 
 
-@query()
-def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences packed greedily; a fold, which SQL has no plain form for. Tests compare it with a loop."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.packed(tx.sentences(F.coalesce("text", F.lit(""))), 256))).select("doc_id", F.col("pos").alias("chunk"), F.md5("col").alias("digest"), F.length("col").alias("n_chars"))
-
-
 CLEAN = r"list_filter(list_transform(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: regexp_replace(w, '[^a-z0-9_\-]', '', 'g')), lambda w: w <> '')"
 
 
@@ -511,8 +499,11 @@ def document_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from refminer.plans import article_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
