@@ -65,15 +65,17 @@ def _blocks(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
     return chosen.mapInArrow(pack, "n int, ids binary, vectors binary")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", block: int = 1024) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", block: int = 1024, buckets: int = 64) -> DataFrame:
     """query_key, key, distance (squared) and rank of the k nearest rows of corpus to each row of queries; ties by key.
 
-    Both sides become blocks of vectors; each pair of blocks is one matrix product, of which only the k best of each query
-    are kept and shuffled. Nothing has to fit on one machine, and there may be any number of queries; the work is the
+    Both sides become blocks of vectors. The corpus's blocks are divided into buckets, a copy of each block of queries goes to
+    every bucket, and the two are joined by it; each pair of blocks is one matrix product, of which only the k best of each
+    query are kept and shuffled. Nothing has to fit on one machine, and there may be any number of queries; the work is the
     product of both sides, since the search is exact. Rows without a vector or key take no part. Vectors are of one length.
     """
     left = _blocks(queries, query_key, vector, block).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"))
-    pairs = left.crossJoin(_blocks(corpus, key, vector, block))
+    right = _blocks(corpus, key, vector, block).withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int"))
+    pairs = left.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(right, "bucket").drop("bucket")
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

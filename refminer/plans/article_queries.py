@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refminer.functions import identifiers as ids
 from refminer.functions import text as tx
-from refminer.operators import analytics, extraction, markup, metadata, ontology, resolve, retrieval, rules, tables
+from refminer.operators import analytics, describe, extraction, markup, metadata, ontology, resolve, retrieval, rules, tables
 from refminer.plans import pipeline
 from refminer.plans.queries import query, table
 from refminer.sources import references
@@ -726,3 +726,79 @@ def top_article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = pipeline.chunks_of(markup.sections(jats(spark, sf_dir)), 100_000)
     asked = retrieval.embed(spark.createDataFrame([("data deposited under accession",)], "text string")).first()["embedding"]
     return retrieval.top_chunks(retrieval.embed(chunks), list(asked), 3).select("key", "rank")
+
+
+# --- descriptions -----------------------------------------------------------------------------------------------------
+
+
+def _title_answers(prompts: list[str]) -> list[str | None]:
+    """An extractor by rules: the first heading it can see, and no license."""
+    import json
+    import re
+
+    out: list[str | None] = []
+    for p in prompts:
+        found = re.search(r"Heading (\w+)", p)
+        out.append(json.dumps({"title": found.group(0), "license": "other"}) if found else None)
+    return out
+
+
+@query(f"WITH {D} SELECT key, 'Set ' || n AS name, 'CC0' AS license, 'Heading ' || n AS title FROM d")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = describe.page_metadata(pages(spark, sf_dir), _title_answers)
+    return found.select("key", *[F.try_element_at("metadata", F.lit(c)).alias(c) for c in ("name", "license", "title")])
+
+
+@query(f"WITH {D} SELECT key, 'GSE' || n AS dataset_identifier, CASE WHEN doc_id % 2 = 0 THEN 'about GSE' || n END AS description FROM d")
+def described_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+    import re
+
+    def answer(prompts: list[str]) -> list[str | None]:
+        return [json.dumps({"description": "about " + m.group(1)}) if (m := re.search(r"dataset (GSE\d*[02468]) ", p)) else "no idea" for p in prompts]
+
+    docs = _based(spark, sf_dir)
+    return describe.described_datasets(docs.select("key", F.col("w").alias("text")), docs.select("key", F.concat(F.lit("GSE"), "n").alias("dataset_identifier")), answer)
+
+
+@query(f"WITH {D} SELECT key, 'Set ' || n AS name, 'Heading of ' || n || 'b' AS title FROM d")
+def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+    import re
+
+    def answer(prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = []
+        for p in prompts:
+            key = re.search(r"Set (\w+)", p)
+            more = re.search(r"Heading of \w+", p)
+            out.append(json.dumps({"urls": [f"https://a.org/{key.group(1)}/{x}" for x in ("none", "b", "c")]}) if "Which of" in p and key else json.dumps({"title": more.group(0)}) if more else None)
+        return out
+
+    docs = _based(spark, sf_dir)
+    site = docs.select("key", F.concat(F.lit("https://a.org/"), "n", F.lit("/b")).alias("url"))
+    fetch = lambda rows: rows.withColumn("content", F.concat(F.lit("<p>Heading of "), "key", F.lit("b</p>")))
+    found = describe.two_hops(pages(spark, sf_dir), site, fetch, answer)
+    return found.select("key", *[F.try_element_at("metadata", F.lit(c)).alias(c) for c in ("name", "title")])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id // 3 % 2 = 0 THEN 'k' || (doc_id % 3 + 1) ELSE 'about ' || doc_id END AS keywords FROM (SELECT DISTINCT doc_id FROM documents) WHERE (doc_id // 3 + 1) * 3 <= (SELECT max(doc_id) + 1 FROM documents)")
+def file_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    def answer(prompts: list[str]) -> list[str | None]:
+        return [json.dumps(["k1", "k2", "k3"]) if "even" in p else json.dumps(["too few"]) for p in prompts]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    last = docs.agg(F.max("doc_id")).first()[0]
+    third = F.floor(F.col("doc_id") / 3)
+    files = docs.filter((third + 1) * 3 <= last + 1).select(
+        "doc_id", third.cast("string").alias("source_url"), F.col("doc_id").cast("string").alias("link"), F.when(third % 2 == 0, "even").otherwise("odd").alias("context_description"), F.concat(F.lit("about "), F.col("doc_id").cast("string")).alias("description")
+    )
+    files = files.withColumn("link", F.lpad("link", 12, "0"))
+    return describe.file_keywords(files, answer).select("doc_id", "keywords")
+
+
+@query(f"WITH {D} SELECT key, md5('<p>' || w || '</p>') AS digest, 'HTML' AS format FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT key, md5('<p> ' || w || ' </p>'), 'PDF' FROM d WHERE doc_id % 2 = 1")
+def readable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _based(spark, sf_dir).select("key", F.concat(F.lit("<p> "), "w", F.lit(" </p>")).alias("content"), F.when(F.col("doc_id") % 2 == 0, "HTML").otherwise("PDF").alias("format"))
+    return describe.readable(texts).select("key", F.md5("content").alias("digest"), "format")

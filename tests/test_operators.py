@@ -231,7 +231,7 @@ def test_store_fetch_and_sinks(spark, tmp_path):
     for r in got.collect():
         by.setdefault(r["url"], []).append((r["content"], r["fetched_by"]))
     assert by["url1"][0][1] == "store" and by["url2"] == [("page", "long")] * 2 and by["url3"] == [(None, None)]
-    lines = spark.createDataFrame([("x" * 1000,)] * 50, "line string")
+    lines = spark.createDataFrame([("x" * 1000,)] * 50, "line string").coalesce(1)
     assert sinks.write_json_lines(lines, str(tmp_path / "j"), max_mb=0.02) == 3
     new = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
     assert sinks.append_absent(new, str(tmp_path / "c"), "k") == 2 and sinks.append_absent(new, str(tmp_path / "c"), "k") == 0

@@ -3,7 +3,7 @@
 import pytest
 
 from refminer.functions import text as tx
-from refminer.operators import analytics, markup, ontology, resolve, rules
+from refminer.operators import analytics, describe, extraction, markup, ontology, prompts, resolve, rules
 
 PAGE = """<html><body><div id="main" class="a b"><section class="data-x"><h2 class="t">Data Availability</h2><p>at <a href="https://x.org/dataset/1">here</a></p>
 <ul><li><a href="f.pdf" data-title="My Data">pdf</a></li></ul></section></div><p>end</p></body></html>"""
@@ -97,3 +97,20 @@ def test_longest_common_subsequence():
 def test_strides_over_many_partitions(spark):
     rows = spark.range(1, 1001).repartition(7).withColumnRenamed("id", "k")
     assert sorted(r.k for r in analytics.strided(rows, "k", 100).collect()) == list(range(1, 1001, 100))
+
+
+def test_prompts_and_schemas_by_name(tmp_path):
+    (tmp_path / "datasets.txt").write_text("own {content}")
+    (tmp_path / "other.json").write_text('{"prompt": "from json"}')
+    (tmp_path / "shape.json").write_text('{"type": "array", "items": {"type": "integer"}}')
+    folders = (str(tmp_path / "none"), str(tmp_path))
+    assert prompts.load_prompt("datasets", folders) == "own {content}" and prompts.load_prompt("datasets") == prompts.BUILT_IN["datasets"]
+    assert prompts.load_prompt("other", folders) == "from json" and prompts.load_config("other", folders) == {"prompt": "from json"}
+    for load in (prompts.load_prompt, prompts.load_schema, prompts.load_config):
+        with pytest.raises(KeyError):
+            load("nothing", folders)
+    shape = prompts.load_schema("shape", folders)
+    assert prompts.conforms([1, 2], shape) and not prompts.conforms([1, "x"], shape) and not prompts.conforms({}, shape)
+    good = {"datasets": [{"dataset_identifier": "a", "data_repository": "b"}]}
+    assert prompts.conforms(good, prompts.load_schema("datasets")) and not prompts.conforms({"datasets": [{"dataset_identifier": 1}]}, prompts.load_schema("datasets"))
+    assert "patterns" in describe.settings(extraction.RuleExtractor())
