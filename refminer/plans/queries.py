@@ -499,7 +499,7 @@ def document_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from refminer.plans import article_queries  # noqa: F401  registers its own
+    from refminer.plans import article_queries, io_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
