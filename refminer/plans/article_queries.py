@@ -703,7 +703,7 @@ def packed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(packed)).select("doc_id", F.col("pos").alias("chunk"), F.length("col").alias("n_chars"))
 
 
-@query(f"WITH {D} SELECT key, 0 AS c, md5(w) AS digest, length(w) > 400 AS long FROM d".replace("0 AS c, ", ""))
+@query(f"WITH {D} SELECT key, 0 AS c, md5(w) AS digest, length(w) // 4 > 100 AS long FROM d".replace("0 AS c, ", ""))
 def prompts_that_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _based(spark, sf_dir).select("key", F.col("w").alias("content"))
     parts = extraction.fit_to_context(chunks, 100)
