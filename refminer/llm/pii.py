@@ -259,7 +259,7 @@ def default_model() -> Model:
 def stored_model(spark: SparkSession) -> Model:
     """default_model, read from the shared folder if an earlier driver has trained and written it there."""
     key = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]
-    folder = f"{ensure_checkpoint_dir(spark)}/../refminer-pii-{key}"
+    folder = f"{ensure_checkpoint_dir(spark)}/refminer-pii-{key}"
     try:
         rows = spark.read.parquet(folder).collect()
     except AnalysisException:  # not there
@@ -335,21 +335,27 @@ class Tagger:
         return out
 
     def _fill(self, out: np.ndarray, codes: np.ndarray, core: np.ndarray, core_end: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
-        """Scores of the cores of windows in order of falling length."""
-        lengths = end - first
-        steps = np.arange(int(lengths[0]))
-        reach = np.searchsorted(-lengths, -steps, "left")
-        last = len(codes) - 1
-        h = self.hidden
+        """Scores of the cores of some windows. What lies after a core is read backwards only, what lies before it forwards only."""
+        h, rows, last = self.hidden, len(core), len(codes) - 1
+
+        def states(d: int, origin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(states by step and place, place of each window)"""
+            order = np.argsort(-lengths, kind="stable")
+            place = np.empty(rows, np.int64)
+            place[order] = np.arange(rows)
+            steps = np.arange(int(lengths.max()))
+            reach = np.searchsorted(-lengths[order], -steps, "left")
+            at = origin[order][None, :] + (-steps if d else steps)[:, None]
+            return self._run(d, codes[np.clip(at, 0, last)], reach).reshape(-1, h), place
+
         n = core_end - core
-        window = np.repeat(np.arange(len(n)), n)
+        window = np.repeat(np.arange(rows), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + core[window]
-        rows = len(n)
-        forward = self._run(0, codes[np.minimum(first[None, :] + steps[:, None], last)], reach).reshape(-1, h)
-        score = forward[(at - first[window]) * rows + window] @ self.wo[:h]
+        forward, place = states(0, first, core_end - first)
+        score = forward[(at - first[window]) * rows + place[window]] @ self.wo[:h]
         del forward
-        backward = self._run(1, codes[np.maximum(end[None, :] - 1 - steps[:, None], 0)], reach).reshape(-1, h)
-        score += backward[(end[window] - 1 - at) * rows + window] @ self.wo[h:]
+        backward, place = states(1, end - 1, end - core)
+        score += backward[(end[window] - 1 - at) * rows + place[window]] @ self.wo[h:]
         score += self.bo
         out[at] = score
 
@@ -359,7 +365,10 @@ class Tagger:
         if not len(scores):
             return tags
         # what a character adds at most to a run of other tags; a run gains if its sum and one more transition exceed 0
-        worth = (scores[:, 1:].max(axis=1) - scores[:, 0]).astype(np.float64) + self.gain
+        best = scores[:, 1].copy()
+        for tag in range(2, scores.shape[1]):
+            np.maximum(best, scores[:, tag], out=best)
+        worth = (best - scores[:, 0]).astype(np.float64) + self.gain
         total = np.concatenate([[0.0], np.cumsum(worth)])
         until = total[1:] - np.minimum.accumulate(total[:-1])
         since = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
