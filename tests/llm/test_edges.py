@@ -23,7 +23,6 @@ def operators(spark, pii_model):
         "overlaps": lambda d: decontamination.find_overlaps(d, benchmark),
         "decontaminate": lambda d: decontamination.decontaminate(d, benchmark),
         "tokens": token_counts.count_tokens,
-        "similar": ngram_join.similar_documents,
         "classes": ngram_join.similarity_classes,
         "drop_similar": ngram_join.drop_similar,
         "pii": lambda d: pii.find_pii(d, pii_model),
@@ -35,7 +34,7 @@ def operators(spark, pii_model):
     }
 
 
-NAMES = "packing rules licenses overlaps decontaminate tokens similar classes drop_similar pii mask secrets score score_without_model select".split()
+NAMES = "packing rules licenses overlaps decontaminate tokens classes drop_similar pii mask secrets score score_without_model select".split()
 KEEPS_COLUMNS = {"decontaminate", "drop_similar", "mask", "select"}
 ROW_BY_ROW = {"rules", "tokens", "mask", "score", "score_without_model", "select"}
 
