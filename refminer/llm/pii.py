@@ -337,27 +337,24 @@ class Tagger:
     def _fill(self, out: np.ndarray, codes: np.ndarray, core: np.ndarray, core_end: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
         """Scores of the cores of some windows. What lies after a core is read backwards only, what lies before it forwards only."""
         h, rows, last = self.hidden, len(core), len(codes) - 1
-
-        def states(d: int, origin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(states by step and place, place of each window)"""
+        cores = list(zip(core.tolist(), core_end.tolist(), strict=True))
+        directions = ((first, core_end - first, core - first), (end - 1, end - core, end - core_end))
+        for d, (origin, lengths, skipped) in enumerate(directions):
             order = np.argsort(-lengths, kind="stable")
             place = np.empty(rows, np.int64)
             place[order] = np.arange(rows)
             steps = np.arange(int(lengths.max()))
             reach = np.searchsorted(-lengths[order], -steps, "left")
             at = origin[order][None, :] + (-steps if d else steps)[:, None]
-            return self._run(d, codes[np.clip(at, 0, last)], reach).reshape(-1, h), place
-
-        n = core_end - core
-        window = np.repeat(np.arange(rows), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + core[window]
-        forward, place = states(0, first, core_end - first)
-        score = forward[(at - first[window]) * rows + place[window]] @ self.wo[:h]
-        del forward
-        backward, place = states(1, end - 1, end - core)
-        score += backward[(end[window] - 1 - at) * rows + place[window]] @ self.wo[h:]
-        score += self.bo
-        out[at] = score
+            states = self._run(d, codes[np.clip(at, 0, last)], reach)
+            weights = self.wo[d * h : (d + 1) * h]
+            # window by window: its states are a view with a fixed stride, which needs no index or copy of all states
+            for (start, stop), own, skip in zip(cores, place.tolist(), skipped.tolist(), strict=True):
+                score = states[skip : skip + stop - start, own] @ weights
+                if d:
+                    out[start:stop] += score[::-1]
+                else:
+                    np.add(score, self.bo, out=out[start:stop])
 
     def decode(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Best tags of each row under the transitions."""
