@@ -4,8 +4,9 @@ The n-grams are ordered from rare to frequent (by a count sketch of the whole co
 Jaccard >= t, the first size - ceil(t size) + 1 n-grams in this order, the prefixes, have one in common. Documents with
 the same prefix and size form one group; groups of about one size with the same min-hash, as most near copies have, form a
 block. Blocks meet in an inverted index of
-prefixes, split by hash so that a task holds a bounded part; for each pair of blocks the n-grams that their groups'
-prefixes share are counted, and pairs whose groups can't reach the threshold with that many are dropped. What is left is
+prefixes, split by hash into buckets so that a task holds a bounded part; for each pair of blocks the n-grams that their
+groups' prefixes share are counted, and pairs whose groups can't reach the threshold with that many are dropped: already in
+the bucket, if they share less there than a pair that can reach it must share in one of its buckets. What is left is
 expanded to the groups' distinct sets, of which those that bitmaps of their n-grams rule out go, and verified on whole sets:
 blocks that are alike are dealt out to tiles of a bounded number of n-grams, and in each pair of tiles the sizes of all
 intersections are one matrix product.
@@ -24,7 +25,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refminer.llm import batches
@@ -32,12 +34,15 @@ from refminer.llm.storage import cut, release
 
 NGRAM = 3
 THRESHOLD = 0.5
-SKETCH_BITS = 20
+#: Logarithm of the slots of the sketch: at least, at most, and n-grams a slot in between. A full sketch can't tell rare n-grams from
+#: others, and what prefixes share grows with the square of what isn't rare.
+SKETCH_BITS, MOST_SKETCH_BITS, SLOT_GRAMS = 20, 24, 8
 #: Logarithm of the ratio of the sizes of a block's largest and smallest groups, at most.
 SIZE_CLASS = math.log(1.04)
 SLOTS = 64
-#: Prefix entries that one task holds at a time.
-BUCKET_ENTRIES = 3_000_000
+#: Prefix entries of a bucket at most, packed; those of them that are unpacked and joined at a time, also the entries of a bucket where
+#: that gives no more than LEAST_BUCKETS. The fewer buckets, the more pairs of blocks share too little in each of them.
+BUCKET_ENTRIES, ENTRIES_AT_ONCE, LEAST_BUCKETS = 1 << 24, 3_000_000, 12
 #: Bits of an n-gram's hash in a bucket. Equal hashes of different n-grams only make candidates.
 HASH_BITS = 30
 PAIRS_AT_ONCE = 4_000_000
@@ -68,42 +73,55 @@ def _grams(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield first, grams, gram_bounds
 
 
-def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many n-grams of the corpus fall on each of 2^SKETCH_BITS hashes. Partial sums are added up slot by slot, as a stream."""
-    size = 1 << SKETCH_BITS
+def _sketch_bits(chars: int) -> int:
+    """Enough for a corpus of so many characters, about six a word."""
+    return min(max(math.ceil(math.log2(max(1, chars) / 6 / SLOT_GRAMS)), SKETCH_BITS), MOST_SKETCH_BITS)
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """The leading 16 bits of an n-gram's place in the global order."""
+    return np.round(np.log2(counts + 1.0) * 1024).astype(np.uint16)
+
+
+def gram_sketch(docs: DataFrame, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """(rank of how many n-grams of the corpus fall on each of 2^bits hashes, number of all n-grams). Partial sums are added up slot by slot, as a stream."""
+    size = 1 << bits
     part = size // SLOTS
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in parts:
             for _, grams, _ in _grams(batch.column("text"), n):
-                total += np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                np.add.at(total, (grams & np.uint64(size - 1)).astype(np.int64), np.int32(1))
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([total[k * part : (k + 1) * part].tobytes() for k in range(SLOTS)], pa.binary())], ["slot", "counts"])
+            low, high = (total & 0xFF).astype(np.uint8), np.flatnonzero(total > 0xFF)
+            for k in range(SLOTS):
+                large = high[(high >= k * part) & (high < (k + 1) * part)]
+                rest = (large - k * part).astype(np.int32).tobytes() + (total[large] >> 8).tobytes()
+                blob = pa.compress(low[k * part : (k + 1) * part].tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())], ["slot", "low", "high"])
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in parts:
-            for slot, counts in zip(batch.column("slot").to_pylist(), batch.column("counts"), strict=True):
-                total[slot] = total.get(slot, 0) + np.frombuffer(counts.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slot", "counts"])
-
-    rows = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(16, "slot").mapInArrow(add, "slot int, counts binary").collect()
-    out = np.zeros(size, np.int64)
-    for slot, counts in rows:
-        out[slot * part : (slot + 1) * part] = np.frombuffer(counts, np.int64)
-    return out
-
+            for slot, low, high in zip(batch.column("slot").to_pylist(), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+                own = total.setdefault(slot, np.zeros(part, np.int64))
+                own += np.frombuffer(pa.decompress(low, decompressed_size=part, codec="zstd"), np.uint8)
+                at, more = np.frombuffer(high, np.int32).reshape(2, -1)
+                own[at] += more.astype(np.int64) << 8
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(_rank(v).tobytes(), codec="zstd", asbytes=True) for v in total.values()], pa.binary()), pa.array([int(v.sum()) for v in total.values()], pa.int64())], ["slot", "ranks", "grams"])
 
-def _rank(counts: np.ndarray) -> np.ndarray:
-    """The leading 20 bits of an n-gram's place in the global order."""
-    return np.round(np.log2(counts + 1.0) * 16384).astype(np.uint64) << np.uint64(44)
+    rows = docs.select("text").mapInArrow(count, "slot int, low binary, high binary").repartition(16, "slot").mapInArrow(add, "slot int, ranks binary, grams bigint").collect()
+    out = np.zeros(size, np.uint16)
+    for slot, ranks, _ in rows:
+        out[slot * part : (slot + 1) * part] = np.frombuffer(pa.decompress(ranks, decompressed_size=2 * part, codec="zstd"), np.uint16)
+    return out, sum(r.grams for r in rows)
 
 
 def _sorted_sets(column: pa.Array, n: int, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, distinct n-grams in the global order) of every row with a word. Each n-gram is its sketch count and 44 bits of its hash."""
+    """(row, distinct n-grams in the global order) of every row with a word. Each n-gram is the rank of its sketch count and 48 bits of its hash."""
     for first, grams, bounds in _grams(column, n):
-        keys = order[(grams & np.uint64(len(order) - 1)).astype(np.int64)] | (grams >> np.uint64(20))
+        keys = order[(grams & np.uint64(len(order) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | (grams >> np.uint64(16))
         for r in range(len(bounds) - 1):
             if bounds[r] < bounds[r + 1]:
                 yield first + r, np.unique(keys[bounds[r] : bounds[r + 1]])
@@ -186,11 +204,20 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         gaps[jump] = 0
         total = np.cumsum(gaps)
         gaps[jump] = np.diff(far.astype(np.int64) - total[jump], prepend=0)
-    return ids, low, low + high, np.cumsum(gaps), refs
+    return ids, low, low + high, np.cumsum(gaps).astype(np.uint32), refs
+
 
+def _bounds(low1: np.ndarray, high1: np.ndarray, low2: np.ndarray, high2: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many prefix entries two groups that reach the threshold must share: the least and the greatest such number over the sizes that groups of two blocks have."""
+    share = threshold / (1 + threshold)
+    least = np.ceil(share * (low1 + low2) - 1e-9) - np.ceil(threshold * np.maximum(high1, high2) - 1e-9) + 1
+    most = np.ceil(share * (high1 + high2) - 1e-9) - np.ceil(threshold * np.maximum(low1, low2) - 1e-9) + 1
+    return np.maximum(least, 1).astype(np.int64), np.maximum(most, 1).astype(np.int64)
 
-def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
-    """b1 < b2 with their least and greatest sizes and the prefix entries of this bucket that they share, for all pairs of blocks that share one and whose sizes allow the threshold."""
+
+def join_bucket(blobs: list[bytes], threshold: float, buckets: int = 1) -> dict[str, np.ndarray]:
+    """b1 < b2 with their least and greatest sizes and the prefix entries of this bucket that they share, for the pairs of blocks whose sizes allow
+    the threshold and that share at least 1 / buckets, rounded up, of what they must share in all. Of a pair that does so some bucket has that many."""
     parts = [_unpacked(b) for b in blobs]
     every = np.concatenate([p[0] for p in parts])
     ids, at = np.unique(every, return_inverse=True)
@@ -201,15 +228,12 @@ def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
     number = np.empty(len(ids), np.int64)
     number[by_size] = np.arange(len(ids))
     ids, low, high = ids[by_size], low[by_size], high[by_size]
-    codes, first = [], 0
+    entries, first = [], 0
     for own, _, _, hashes, refs in parts:
-        local = number[at[first : first + len(own)]]
+        local = number[at[first : first + len(own)]].astype(np.uint32)
         first += len(own)
-        codes.append((hashes.astype(np.uint64) << np.uint64(32)) | local[refs].astype(np.uint64))
-    code = np.unique(np.concatenate(codes))
-    del codes, parts
-    key, block = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del code
+        entries.append((hashes, refs, local))
+    del parts, every, at
     total = len(ids)
     held: list[np.ndarray] = []
     weights: list[np.ndarray] = []
@@ -220,55 +244,86 @@ def join_bucket(blobs: list[bytes], threshold: float) -> dict[str, np.ndarray]:
         n = np.bincount(inverse, np.concatenate(weights), minlength=len(pairs)).astype(np.int32)
         held[:], weights[:] = [pairs], [n]
 
-    active = np.flatnonzero(key[1:] == key[:-1])
-    distance = 1
-    while len(active):
-        left, right = block[active], block[active + distance]
-        ok = high[left] >= threshold * low[right] - 1e-9
-        active, left, right = active[ok], left[ok], right[ok]
-        held.append(left * total + right)
-        weights.append(np.ones(len(left), np.int32))
-        waiting += len(left)
-        if waiting > PAIRS_AT_ONCE:
-            merge()
-            waiting = 0
-        distance += 1
-        active = active[active + distance < len(key)]
-        active = active[key[active] == key[active + distance]]
+    steps = max(1, math.ceil(sum(len(e[0]) for e in entries) / ENTRIES_AT_ONCE))
+    edges = np.linspace(0, 1 << HASH_BITS, steps + 1).astype(np.int64)
+    cuts = [np.searchsorted(hashes, edges) for hashes, _, _ in entries]
+    for step in range(steps):
+        codes = [hashes[c[step] : c[step + 1]].astype(np.uint64) << np.uint64(32) | local[refs[c[step] : c[step + 1]]] for (hashes, refs, local), c in zip(entries, cuts, strict=True)]
+        code = np.concatenate(codes)
+        del codes
+        code.sort()
+        key = (code >> np.uint64(32)).astype(np.uint32)
+        equal = key[1:] == key[:-1]
+        keep = np.zeros(len(code), bool)  # entries of one block alone, or of one n-gram twice, meet nothing
+        keep[1:] = equal
+        keep[:-1] |= equal
+        code = code[keep]
+        code = code[np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])]
+        key, block = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del code
+        active = np.flatnonzero(key[1:] == key[:-1])
+        distance = 1
+        while len(active):
+            left, right = block[active], block[active + distance]
+            ok = high[left] >= threshold * low[right] - 1e-9
+            active, left, right = active[ok], left[ok], right[ok]
+            held.append(left * total + right)
+            weights.append(np.ones(len(left), np.int32))
+            waiting += len(left)
+            if waiting > PAIRS_AT_ONCE:
+                merge()
+                waiting = 0
+            distance += 1
+            active = active[active + distance < len(key)]
+            active = active[key[active] == key[active + distance]]
     if held:
         merge()
     pairs, n = (held[0], weights[0]) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-    a, b = pairs // total, pairs % total
+    a, b = pairs // max(1, total), pairs % max(1, total)
+    enough = n >= -(-_bounds(low[a], high[a], low[b], high[b], threshold)[0] // buckets)
+    a, b, n = a[enough], b[enough], n[enough]
     swap = ids[a] > ids[b]  # a pair has one form, whatever the bucket
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     return {"b1": ids[a], "b2": ids[b], "low1": low[a].astype(np.int32), "high1": high[a].astype(np.int32), "low2": low[b].astype(np.int32), "high2": high[b].astype(np.int32), "shared": n}
 
 
-def _candidates(docs: DataFrame, n: int, threshold: float, order: np.ndarray, heavy: np.uint64, buckets: int) -> DataFrame:
+def _possible(threshold: float, buckets: int) -> Column:
+    """Whether some groups of two blocks may reach the threshold, by what the n of all buckets that list the pair say (shared is the sum).
+
+    Let k = B (f - 1) + r, 1 <= r <= B, be what two groups must share. A bucket that doesn't list them has at most f - 1, the n that
+    do have the rest: k - (B - n) (f - 1) = n (f - 1) + r. Over all k that sizes of the blocks give, it is least at the first k or,
+    if f isn't the same for all of them, at r = 1 of the next f.
+    """
+    share = F.lit(threshold / (1 + threshold))
+    least = F.ceil(share * (F.col("low1") + F.col("low2")) - 1e-9) - F.ceil(F.lit(threshold) * F.greatest("high1", "high2") - 1e-9) + 1
+    most = F.ceil(share * (F.col("high1") + F.col("high2")) - 1e-9) - F.ceil(F.lit(threshold) * F.greatest("low1", "low2") - 1e-9) + 1
+    least, most = F.greatest(least, F.lit(1)), F.greatest(most, F.lit(1))
+    before, last = F.floor((least - 1) / buckets), F.floor((most - 1) / buckets)
+    rest = least - before * buckets
+    return F.col("shared") >= F.col("n") * before + F.when(before == last, rest).otherwise(F.least(rest, F.col("n") + 1))
+
+
+def _candidates(docs: DataFrame, n: int, threshold: float, order: Broadcast[np.ndarray], heavy: np.uint64, buckets: int) -> DataFrame:
     """b1, b2: pairs of blocks whose shared prefix entries leave the threshold possible for some of their groups."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            names, blobs = _packed(_sorted_sets(batch.column("text"), n, shared.value), buckets, threshold, heavy)
+            names, blobs = _packed(_sorted_sets(batch.column("text"), n, order.value), buckets, threshold, heavy)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
     entries = docs.select("text").mapInArrow(emit, "bucket int, entries binary")
-    pairs = entries.groupBy("bucket").applyInArrow(lambda table: pa.table(join_bucket(table.column("entries").to_pylist(), threshold)), "b1 bigint, b2 bigint, low1 int, high1 int, low2 int, high2 int, shared int")
-    counted = pairs.groupBy("b1", "b2").agg(*(F.min(c).alias(c) for c in ("low1", "low2")), *(F.max(c).alias(c) for c in ("high1", "high2")), F.sum("shared").alias("shared"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("low1") + F.col("low2")) - 1e-9)
-    beyond = F.ceil(F.lit(threshold) * F.greatest("high1", "high2") - 1e-9) - 1
-    return counted.filter(F.col("shared") + beyond >= need).select("b1", "b2")
+    pairs = entries.groupBy("bucket").applyInArrow(lambda table: pa.table(join_bucket([v.as_buffer() for v in table.column("entries")], threshold, buckets)), "b1 bigint, b2 bigint, low1 int, high1 int, low2 int, high2 int, shared int")
+    counted = pairs.groupBy("b1", "b2").agg(*(F.min(c).alias(c) for c in ("low1", "low2")), *(F.max(c).alias(c) for c in ("high1", "high2")), F.sum("shared").alias("shared"), F.count("*").alias("n"))
+    return counted.filter(_possible(threshold, buckets)).select("b1", "b2")
 
 
-def _described(docs: DataFrame, n: int, order: np.ndarray, heavy: np.uint64) -> DataFrame:
+def _described(docs: DataFrame, n: int, order: Broadcast[np.ndarray], heavy: np.uint64) -> DataFrame:
     """doc_id, node (hash of the whole set), block, size and bits (which of BITS hashes its n-grams have) of every row with a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             rows, nodes, blocks, sizes, bits = [], [], [], [], []
-            for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
+            for row, keys in _sorted_sets(batch.column("text"), n, order.value):
                 rows.append(row)
                 nodes.append(_hash64(keys.tobytes()))
                 blocks.append(_block(keys, heavy))
@@ -326,16 +381,15 @@ def _decoded(blobs: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, order: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, order: Broadcast[np.ndarray]) -> DataFrame:
     """node and its n-grams, at least for the nodes of wanted (node, doc_id: one of its documents); a node has one row or a few equal ones."""
-    context = docs.sparkSession.sparkContext
-    shared, asked = context.broadcast(order), context.broadcast(_bloom(wanted))
+    asked = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             ids = batch.column("doc_id").to_numpy()
             rows, nodes, sets = [], [], []
-            for row, keys in _sorted_sets(batch.column("text"), n, shared.value):
+            for row, keys in _sorted_sets(batch.column("text"), n, order.value):
                 rows.append(row)
                 nodes.append(_hash64(keys.tobytes()))
                 sets.append(keys)
@@ -476,11 +530,12 @@ def _similar_nodes(docs: DataFrame, n: int, threshold: float, listed: bool) -> t
     """(documents: doc_id, node; nodes: node, doc_id (the least), copies; what verify_tile finds: a, b, value), all kept in the shared folder."""
     docs = batches.with_doc_columns(docs).filter("doc_id is not null and text is not null")
     docs = docs.select("doc_id", F.lower("text").alias("text"))
-    counts = gram_sketch(docs, n)
-    order = _rank(counts)
-    usual = float(np.median(counts))
-    heavy = _rank(np.array([usual + 6 * math.sqrt(usual)]))[0]
-    buckets = max(1, math.ceil(counts.sum() * (1 - threshold) / BUCKET_ENTRIES))
+    ranks, grams = gram_sketch(docs, n, _sketch_bits(docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0))
+    usual = 2 ** (float(np.median(ranks[::16])) / 1024) - 1  # of some slots, which are hashes
+    heavy = np.uint64(_rank(np.array([usual + 6 * math.sqrt(usual)]))[0]) << np.uint64(48)
+    order = docs.sparkSession.sparkContext.broadcast(ranks)
+    entries = grams * (1 - threshold)
+    buckets = max(1, math.ceil(entries / BUCKET_ENTRIES), min(LEAST_BUCKETS, math.ceil(entries / ENTRIES_AT_ONCE)))
     described = cut(_described(docs, n, order, heavy))
     nodes = described.select("doc_id", "node", "block", "size").distinct().groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("block").alias("block"), F.first("size").alias("size"))
     nodes = cut(nodes)

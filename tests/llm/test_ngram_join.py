@@ -121,6 +121,61 @@ def test_prefix_blobs_are_read_back():
     assert entries == want
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 7, 40])
+def test_pairs_that_share_too_little_stay_in_their_bucket(spark, monkeypatch, buckets):
+    """Of many sets that share a rare n-gram or two by chance, hardly a pair leaves its bucket; all that reach the threshold, often just so, are possible."""
+    rng = np.random.default_rng(buckets)
+    sets = []
+    for k in range(200):
+        if k % 4 == 3:
+            a, b = sets[-1], rng.integers(0, 1 << 62, 90).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([rng.permutation(a)[: len(a) * rng.integers(60, 80) // 100], b[: rng.integers(10, 60)]])))
+        else:
+            sets.append(np.unique(np.concatenate([rng.integers(0, 1 << 62, rng.integers(60, 150)).astype(np.uint64), rng.integers(0, 120, 2).astype(np.uint64)])))
+    monkeypatch.setattr(ngram_join, "ENTRIES_AT_ONCE", 700)
+    heavy, held = np.uint64(0), {}
+    for k in range(0, 200, 50):
+        for b, blob in zip(*ngram_join._packed(iter(list(enumerate(sets))[k : k + 50]), buckets, 0.5, heavy), strict=True):
+            held.setdefault(b, []).append(blob)
+    joined = [ngram_join.join_bucket(blobs, 0.5, buckets) for blobs in held.values()]
+    rows = [r for j in joined for r in zip(*(j[c].tolist() for c in ("b1", "b2", "low1", "high1", "low2", "high2", "shared")), strict=True)]
+    by_pair = {}
+    for r in rows:
+        by_pair.setdefault(r[:2], []).append(r[2:])
+    merged = [(*p, min(r[0] for r in v), max(r[1] for r in v), min(r[2] for r in v), max(r[3] for r in v), sum(r[4] for r in v), len(v)) for p, v in by_pair.items()]
+    frame = spark.createDataFrame(merged, "b1 bigint, b2 bigint, low1 int, high1 int, low2 int, high2 int, shared int, n int")
+    left = {(r.b1, r.b2) for r in frame.filter(ngram_join._possible(0.5, buckets)).collect()}
+    block = [ngram_join._block(s, heavy) for s in sets]
+    near = [(i, j) for i in range(200) for j in range(i) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))]
+    want = {(min(block[i], block[j]), max(block[i], block[j])) for i, j in near if block[i] != block[j]}
+    assert len(near) > 10 and want <= left
+    # of sizes that are alike, groups must share a ninth of the larger; where one is half as large as the other, a single n-gram may do
+    few = {(min(block[i], block[j]), max(block[i], block[j])) for i in range(200) for j in range(i) if 0 < len(np.intersect1d(sets[i], sets[j])) < 5 and 5 / 6 < len(sets[i]) / len(sets[j]) < 6 / 5}
+    assert len(few) > 100 and (buckets > 7 or sum(r[:2] in few for r in rows) < 10)
+
+
+def test_long_texts_about_the_threshold(make_docs, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for k in range(90):
+        own = prose(rng, 200).split() if k % 3 == 0 else texts[k - k % 3].split()
+        for at in rng.sample(range(200), [0, 18, 25][k % 3]):
+            own[at] = f"edit{rng.randrange(1000)}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 1500)
+    want = classes(brute(texts, 0.5))
+    assert len(want) > 20
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similarity_classes(make_docs(texts)).collect()} == want
+
+
+def test_sketch_grows_with_the_corpus(make_docs):
+    assert [ngram_join._sketch_bits(c) for c in (0, 1_000_000, 200_000_000, 10_000_000_000)] == [20, 20, 22, 24]
+    texts = [prose(random.Random(1), 30)] * 600 + [prose(random.Random(2), 30)] * 3
+    ranks, total = ngram_join.gram_sketch(make_docs(texts), 3, 22)
+    assert len(ranks) == 1 << 22 and total == 603 * 28
+    assert sorted(ranks[ranks > 0].tolist()) == sorted(ngram_join._rank(np.repeat([600, 3], 28)).tolist())
+
+
 def test_one_of_each_group_stays(make_docs):
     texts = corpus(9, 150)
     root = list(range(150))
