@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -52,48 +53,117 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """n (rows), ids and vectors (both binary) of runs of at most block rows with a vector."""
+def _vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """k and v, the vector as bytes of doubles, of the rows with both."""
+
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for k in range(0, len(part), block):
-                some = part.slice(k, block)
-                vectors = np.array(some.column("v").to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int32()), pa.array([np.array(some.column("k").to_pylist(), np.int64).tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["n", "ids", "vectors"])
+            own = part.column("v")
+            ends, flat = own.offsets.to_numpy(), own.values.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["k", "v"])
 
     chosen = rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and size(v) > 0")
-    return chosen.mapInArrow(pack, "n int, ids binary, vectors binary")
-
-
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", block: int = 1024, buckets: int = 64) -> DataFrame:
+    return chosen.mapInArrow(pack, "k bigint, v binary")
+
+
+class _Best:
+    """The k nearest vectors so far of each of some queries; ties by id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k, self.squares = ids, q, k, (q * q).sum(1)
+        self.found = [(np.empty(0, np.int64), np.empty(0)) for _ in range(0, len(q), _TILE)]
+        self.rows = [np.empty(0, np.int64) for _ in self.found]
+        self.last = np.full(len(q), np.inf)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        squares = (v * v).sum(1)
+        for t, first in enumerate(range(0, len(self.q), _TILE)):
+            q, last = self.q[first : first + _TILE], self.last[first : first + _TILE]
+            rough = q @ v.T
+            rough *= -2
+            rough += self.squares[first : first + _TILE, None]
+            rough += squares
+            if np.isinf(last).any() and len(ids) > self.k:
+                last = np.minimum(last, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
+            most = last + 1e-6 * (1 + np.abs(np.where(np.isinf(last), 0, last)))
+            at, what = np.nonzero(rough <= most[:, None])
+            if not len(at):
+                continue
+            # the products only pick; distances are sums of squared differences, in order
+            exact = np.concatenate([np.cumsum((v[what[n : n + _TILE]] - q[at[n : n + _TILE]]) ** 2, axis=1)[:, -1] for n in range(0, len(at), _TILE)])
+            old_ids, old = self.found[t]
+            at, what, exact = np.concatenate([self.rows[t], at]), np.concatenate([old_ids, ids[what]]), np.concatenate([old, exact])
+            order = np.lexsort((what, exact, at))
+            at, what, exact = at[order], what[order], exact[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            best = place < self.k
+            self.rows[t], self.found[t] = at[best], (what[best], exact[best])
+            full = place == self.k - 1
+            self.last[first + at[full]] = exact[full]
+
+    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for t, (ids, exact) in enumerate(self.found):
+            yield self.ids[t * _TILE + self.rows[t]], ids, exact
+
+
+#: Queries, and vectors, of one matrix product; bytes of the queries that a task holds; rows that make a part worth a task.
+_TILE, _HELD, _LEAST = 1024, 32 << 20, 1024
+
+
+def _parts(n: int, dims: int, tasks: int) -> int:
+    return max(1, -(-n * dims * 8 // _HELD), min(math.ceil(math.sqrt(tasks)), -(-n // _LEAST)))
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", block: int = 1024) -> DataFrame:
     """query_key, key, distance (squared) and rank of the k nearest rows of corpus to each row of queries; ties by key.
 
-    Both sides become blocks of vectors. The corpus's blocks are divided into buckets, a copy of each block of queries goes to
-    every bucket, and the two are joined by it; each pair of blocks is one matrix product, of which only the k best of each
-    query are kept and shuffled. Nothing has to fit on one machine, and there may be any number of queries; the work is the
-    product of both sides, since the search is exact. Rows without a vector or key take no part. Vectors are of one length.
+    Both sides are counted and divided into parts; each pair of parts is a task. It holds its queries (32 MB at most) with the k
+    best of each so far, and the corpus's vectors stream past in blocks: a matrix product a block, of which only what beats a
+    query's k-th best is looked at. A row is sent to as many tasks as the other side has parts, about the square root of the
+    tasks, and k rows a query and task are shuffled. The work is the product of both sides, since the search is exact. Rows
+    without a vector or key take no part. Vectors are of one length.
     """
-    left = _blocks(queries, query_key, vector, block).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"))
-    right = _blocks(corpus, key, vector, block).withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int"))
-    pairs = left.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(right, "bucket").drop("bucket")
+    left, right = _vectors(queries, query_key, vector), _vectors(corpus, key, vector)
+    tasks = 3 * corpus.sparkSession.sparkContext.defaultParallelism
+    known = lambda rows, name: rows.filter(F.col(name).isNotNull() & (F.size(vector) > 0)).agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    (n, dims), (m, _) = known(queries, query_key), known(corpus, key)
+    across, down = _parts(n, dims, tasks), _parts(m, dims, tasks)
+
+    def dealt(rows: DataFrame, own: int, other: int, place: Any, side: int) -> DataFrame:
+        """The rows once for each task that needs them."""
+        mine = F.pmod(F.xxhash64("k", "v"), F.lit(own)).cast("int")
+        return rows.withColumn("own", mine).select(F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("o"), "own", "k", "v").select(place(F.col("own"), F.col("o")).alias("task"), F.lit(side).alias("side"), "k", "v")
+
+    both = dealt(left, across, down, lambda own, other: own * down + other, 0).unionByName(dealt(right, down, across, lambda own, other: other * down + own, 1))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(best: _Best | None) -> Iterator[pa.RecordBatch]:
+            for columns in best.batches() if best else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [query_key, key, "distance"])
+
+        task, asked, best = -1, [], None
         for part in parts:
-            for row in part.to_pylist():
-                q, v = np.frombuffer(row["qv"]).reshape(row["qn"], -1), np.frombuffer(row["vectors"]).reshape(row["n"], -1)
-                qids, ids = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-                last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                at, what = np.nonzero(rough <= last[:, None] + 1e-6 * (1 + np.abs(last[:, None])))
-                # the products only pick; distances are sums of squared differences, in order
-                exact = np.cumsum((v[what] - q[at]) ** 2, axis=1)[:, -1]
-                order = np.lexsort((ids[what], exact, at))
-                at, what, exact = at[order], what[order], exact[order]
-                first = np.searchsorted(at, at)
-                best = np.arange(len(at)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at[best]]), pa.array(ids[what[best]]), pa.array(exact[best])], [query_key, key, "distance"])
-
-    found = pairs.mapInArrow(search, f"{query_key} bigint, {key} bigint, distance double")
+            tasks, sides, ids = (part.column(c).to_numpy() for c in ("task", "side", "k"))
+            for one in np.unique(tasks):  # sorted, queries first
+                for side in (0, 1):
+                    rows = np.flatnonzero((tasks == one) & (sides == side))
+                    if one != task:
+                        yield from said(best)
+                        task, asked, best = one, [], None
+                    for first in range(0, len(rows), block):
+                        some = rows[first : first + block]
+                        v = np.frombuffer(b"".join(part.column("v").slice(some[0], len(some)).to_pylist())).reshape(len(some), -1)
+                        if side == 0:
+                            asked.append((ids[some], v))
+                            continue
+                        if best is None and asked:
+                            best = _Best(np.concatenate([i for i, _ in asked]), np.concatenate([q for _, q in asked]), k)
+                            asked = []
+                        if best is not None:
+                            best.add(ids[some], v)
+        yield from said(best)
+
+    found = both.repartitionById(across * down, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(search, f"{query_key} bigint, {key} bigint, distance double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)))
     return ranked.filter(F.col("rank") <= k)
 
