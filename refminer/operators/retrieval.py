@@ -18,8 +18,9 @@ from refminer.operators import ontology
 
 
 def any_identifier(text: Column, source: Any = None) -> Column:
-    """Whether a text has an identifier of any repository: one pattern, one pass."""
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for _, p in ontology.search_patterns(source)))
+    """Whether a text has an identifier of any repository: one pattern, one pass over the words that can have one."""
+    patterns = [p for _, p in ontology.search_patterns(source)]
+    return _searched(text, patterns).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def _within_words(pattern: str) -> bool:
@@ -28,22 +29,57 @@ def _within_words(pattern: str) -> bool:
     return not re.search(r"[\s.\\]|\[\^", plain)
 
 
+def _has_digit(parsed: Any) -> bool:
+    """Whether whatever a parsed pattern matches has a digit; False where that isn't plain."""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL" and 48 <= value <= 57:
+            return True
+        if name == "IN" and all((str(o), v) in (("CATEGORY", re._constants.CATEGORY_DIGIT),) or (str(o) == "RANGE" and v[0] >= 48 and v[1] <= 57) or (str(o) == "LITERAL" and 48 <= v <= 57) for o, v in value):  # type: ignore[attr-defined]
+            return True
+        if name == "SUBPATTERN" and _has_digit(value[-1]):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0 and _has_digit(value[2]):
+            return True
+        if name == "BRANCH" and all(map(_has_digit, value[1])):
+            return True
+    return False
+
+
+def _needs_digit(pattern: str) -> bool:
+    try:
+        return _has_digit(re._parser.parse(pattern))  # type: ignore[attr-defined]
+    except re.error:
+        return False
+
+
+def _searched(text: Column, patterns: list[str]) -> Column:
+    """What of a text the patterns have to be looked for in: where all of them match within words and with a digit, its words with a digit."""
+    if all(_within_words(p) and _needs_digit(p) for p in patterns):
+        return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: w.rlike("[0-9]")), " ")
+    return text
+
+
 def identifier_mentions(docs: DataFrame, text: str = "text", source: Any = None) -> DataFrame:
     """docs' other columns, repo and mention of every identifier in a text, in the ontology's order; repeats stay.
 
-    One pass over a text finds the words that have any identifier; single patterns are searched for in these alone.
+    One pass over a text finds the words that can have an identifier; single patterns are searched for in these alone.
     """
     patterns = ontology.search_patterns(source)
+    plain = [p for _, p in patterns]
 
     def hits_of(where: Column, repo: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(where, F.lit(f"(?i)({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(repo).alias("repo"), m.alias("mention")))
 
-    if all(_within_words(p) for _, p in patterns):
-        words = F.filter(F.split(F.col(text), r"\s+"), lambda w: any_identifier(w, source))
-        searched = docs.withColumn("_w", F.array_join(words, " ")).filter(F.length("_w") > 0)
+    def found(where: Column) -> Column:
+        return F.when(where.rlike("(?i)" + "|".join(f"(?:{p})" for p in plain)), F.concat(*[hits_of(where, repo, p) for repo, p in patterns]))
+
+    if all(map(_within_words, plain)) and not all(map(_needs_digit, plain)):
+        where = F.array_join(F.filter(F.split(F.col(text), r"\s+"), lambda w: any_identifier(w, source)), " ")
     else:
-        searched = docs.withColumn("_w", F.col(text)).filter(any_identifier(F.col(text), source))
-    hits = searched.withColumn("_m", F.explode(F.concat(*[hits_of(F.col("_w"), repo, p) for repo, p in patterns])))
+        where = _searched(F.col(text), plain)
+    # as the one element of an array it is computed once for all patterns; a filter would be pushed down and repeat it
+    hits = docs.withColumn("_m", F.explode(F.flatten(F.transform(F.array(where), found))))
     return hits.select(*[c for c in docs.columns if c != text], "_m.repo", "_m.mention")
 
 

@@ -1,11 +1,12 @@
 """What steps send, hold and repeat as tables grow."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from refminer.operators import retrieval
+from refminer.operators import ontology, retrieval
 
 
 @pytest.mark.parametrize("n", [1, 60, 2_000, 250_000, 40_000_000])
@@ -25,3 +26,29 @@ def test_nearest_over_several_tasks(spark, monkeypatch):
     for q, v in rows[:40]:
         assert got[q] == sorted(range(70), key=lambda k: (sum((a - b) ** 2 for a, b in zip(v, rows[k][1], strict=True)), k))[:4]
     assert set(got) == set(range(40))
+
+
+@pytest.mark.parametrize(("pattern", "needed"), [(r"MSV\d+", True), (r"PRJ(?:NA|EB)\d+|[SED]RP\d+", True), (r"10\.6084/\w+", True), (r"\b(?:NC_\d+|CP\w+)\b", False), (r"AB\d*", False), (r"A[0-9a-f]", False), (r"[^0-9]", False), (r"pdb[1-9]\w", True)])
+def test_digits_that_a_pattern_needs(pattern, needed):
+    assert retrieval._needs_digit(pattern) == needed
+
+
+@pytest.mark.parametrize("source", [None, ontology.EXTENDED, ({"repo": "a", "repo_name": "A", "id_pattern": r"two words \d"},)])
+def test_mentions_are_those_of_each_pattern(spark, source):
+    pieces = ["GSE1,gsm2", "pxd123456)", "(phs000001.v1.p1", "E-ABCD-12", "doi:10.5061/dryad.x1", "10.6084/m9.figshare.7", "NC_x", "MTabc", "syn1234567", "two words 3", "plain", "PRJNA", "12", "xMSV9", "\tEMD-4\n", "10.1594/PANGAEA.5"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice([" ", "\n", "", ", "]) + rng.choice(pieces) for _ in range(12)) for _ in range(40)]
+    got = {}
+    for r in retrieval.identifier_mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1), source=source).collect():
+        got.setdefault(r[0], []).append((r[1], r[2]))
+    patterns = ontology.search_patterns(source)
+    for k, text in enumerate(texts):
+        assert got.get(k, []) == [(repo, m.group(0)) for repo, p in patterns for m in re.finditer(p, text, re.I | re.A)]
+    flags = spark.createDataFrame([(t,) for t in texts], "t string").select(retrieval.any_identifier(F.col("t"), source)).collect()
+    assert [r[0] for r in flags] == [any(re.search(p, t, re.I | re.A) for _, p in patterns) for t in texts]
+
+
+def test_a_text_is_looked_through_once(spark):
+    docs = spark.createDataFrame([(1, "GSE1")], "doc_id int, text string")
+    plan = retrieval.identifier_mentions(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
