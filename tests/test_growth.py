@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from refminer.operators import ontology, retrieval
+from refminer.functions import batches
+from refminer.operators import markup, ontology, retrieval
 
 
 @pytest.mark.parametrize("n", [1, 60, 2_000, 250_000, 40_000_000])
@@ -52,3 +54,28 @@ def test_a_text_is_looked_through_once(spark):
     docs = spark.createDataFrame([(1, "GSE1")], "doc_id int, text string")
     plan = retrieval.identifier_mentions(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_pieces_of_a_batch_are_bounded():
+    texts = ["x" * n for n in (10, 3_000_000, 5, 5_000_000, *[20_000] * 900)]
+    batch = pa.record_batch({"t": pa.array(texts), "k": pa.array(range(len(texts)))})
+    cut = list(batches.pieces(batch))
+    assert [k for p in cut for k in p.column("k").to_pylist()] == list(range(len(texts)))
+    assert all(len(p) == 1 or p.nbytes <= 2 * batches.BYTES for p in cut) and max(map(len, cut)) <= batches.ROWS
+    assert list(batches.pieces(batch.slice(0, 0))) == []
+    assert batches.mapped(pa.array(["a", None]), lambda t: [t] * 2, pa.list_(pa.string())).to_pylist() == [["a", "a"], [None, None]]
+
+
+def test_parsed_rows_leave_in_pieces(spark, monkeypatch):
+    """A task of long documents gave all its rows at once."""
+    docs = spark.createDataFrame([(str(k), "<p>" + "word " * 2000 + "</p>") for k in range(600)], "key string, content string").coalesce(1)
+    sizes = markup.html_paragraphs(docs).mapInArrow(lambda it: (pa.record_batch({"n": pa.array([len(b)])}) for b in it), "n long")
+    assert sizes.count() > 0 and markup.html_paragraphs(docs).count() == 600
+    held = []
+    monkeypatch.setattr(markup, "html_tree", lambda html, own=markup.html_tree: held.append(1) or own(html))
+    run = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    markup.html_paragraphs(docs)
+    batch = pa.record_batch({"key": pa.array([str(k) for k in range(600)]), "content": pa.array(["<p>" + "word " * 2000 + "</p>"] * 600), "format": pa.array(["HTML"] * 600)})
+    first = next(run["f"](iter([batch])))
+    assert len(first) == len(held) < 600
