@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from refminer.functions.batches import mapped
+
 ABBREVIATION = r"(?:^|\s)(?:e\.g|i\.e|Fig|Figs|et al|vs|Dr|Prof|cf|no|approx)\."
 SENTENCE_END = rf"(?<=[.!?])(?<!{ABBREVIATION})\s+(?=[A-Z])"
 CONTEXT_LIMITS = {"gpt": 128_000, "claude": 200_000, "gemini": 1_000_000}
@@ -61,22 +62,24 @@ def pack(pieces: Iterable[str], budget: int, cost: int = 4, glue: str = " ") ->
 def packed(pieces: Column, budget: int, cost: int = 4, glue: str = " ") -> Column:
     """pack() of an array of strings, in Arrow batches: a fold in an expression would copy the array at each step. A null gives none."""
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda p: [] if p is None else pack([x for x in p if x is not None], budget, cost, glue))
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return mapped(column, lambda p: [] if p is None else pack([x for x in p if x is not None], budget, cost, glue), pa.list_(pa.string()))
 
     return run(pieces)
 
 
+def pieces_of(paragraphs: list[str] | None, budget: int) -> list[str]:
+    """Paragraphs, those over the budget (of tokens of four characters) as packed sentences."""
+    return [c for p in paragraphs or [] if p is not None for c in ([p] if len(p) // 4 <= budget else pack(split_sentences(p), budget))]
+
+
 def packed_paragraphs(paragraphs: Column, budget: int) -> Column:
     """The paragraphs of an array, those over the budget (of tokens of four characters) as packed sentences."""
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        def one(listed: Any) -> list[str]:
-            return [c for p in ([] if listed is None else listed) if p is not None for c in ([p] if len(p) // 4 <= budget else pack(split_sentences(p), budget))]
-
-        return column.map(one)
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return mapped(column, lambda listed: pieces_of(listed, budget), pa.list_(pa.string()))
 
     return run(paragraphs)
 

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from refminer.functions.batches import pieces
 from refminer.operators import ontology
 
 
@@ -248,19 +249,23 @@ def embed(rows: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
-    @F.pandas_udf("array<double>")
-    def add(hashes: pd.Series) -> pd.Series:
-        def one(own: Any) -> Any:
-            if own is None:
-                return None
-            h = np.asarray(own, np.int64)
-            total = np.bincount(np.mod(h, dims), np.where((h >> 40) % 2 == 0, 1.0, -1.0), minlength=dims)
-            norm = np.sqrt((total * total).sum())
-            return total / norm if norm > 0 else total
+    columns = [c for c in rows.columns if c != "embedding"]
 
-        return hashes.map(one)
+    def one(own: Any) -> Any:
+        if own is None:
+            return None
+        h = own.to_numpy()
+        total = np.bincount(np.mod(h, dims), np.where((h >> 40) % 2 == 0, 1.0, -1.0), minlength=dims)
+        norm = np.sqrt((total * total).sum())
+        return total / norm if norm > 0 else total
 
-    return rows.withColumn("embedding", add(F.transform(words, lambda w: F.xxhash64(w))))
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (piece for batch in parts for piece in pieces(batch)):
+            vectors = pa.array([one(x.values) for x in part.column("_h")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], vectors], [*columns, "embedding"])
+
+    hashed = rows.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
+    return hashed.mapInArrow(add, StructType([*rows.select(columns).schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def top_chunks(chunks: DataFrame, query: list[float], k: int, key: str = "key", chunk: str = "chunk_key") -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from refminer.functions.batches import pieces
 from refminer.functions.identifiers import download_link, null_if_sentinel
-from refminer.functions.text import packed_paragraphs
+from refminer.functions.text import pieces_of
 from refminer.operators import extraction, markup, ontology, resolve, retrieval
 from refminer.operators.tables import dedup_items, drop_incomplete
 
@@ -33,9 +37,21 @@ def citations_from_text(docs: DataFrame, source: Any = None) -> DataFrame:
 
 def chunks_of(sections: DataFrame, budget: int = 512) -> DataFrame:
     """key, section_title, sec_type, kind, chunk_key and text: paragraphs, over the budget split into packed sentences; then tables."""
-    pieces = packed_paragraphs(F.col("paragraphs"), budget)
-    with_tables = F.concat(pieces, F.when(F.length("tables") > 0, F.array("tables")).otherwise(F.array().cast("array<string>")))
-    rows = sections.select("key", "sec_idx", "section_title", "sec_type", "kind", F.posexplode(with_tables).alias("chunk_id", "text"))
+    kept = ["key", "sec_idx", "section_title", "sec_type", "kind"]
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (piece for batch in parts for piece in pieces(batch)):
+            at, places, texts = [], [], []
+            for k, (paragraphs, table) in enumerate(zip(part.column("paragraphs"), part.column("tables"), strict=True)):
+                own = pieces_of(paragraphs.as_py(), budget) + [t for t in (table.as_py(),) if t]
+                at += [k] * len(own)
+                places += range(len(own))
+                texts += own
+            own_rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(own_rows) for c in kept], pa.array(places, pa.int32()), pa.array(texts, pa.string())], [*kept, "chunk_id", "text"])
+
+    schema = StructType([*[sections.schema[c] for c in kept], StructField("chunk_id", IntegerType()), StructField("text", StringType())])
+    rows = sections.select(*kept, "paragraphs", "tables").mapInArrow(cut, schema)
     return rows.withColumn("chunk_key", F.concat_ws("/", "key", "sec_idx", "chunk_id"))
 
 
