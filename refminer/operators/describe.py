@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from refminer.operators import extraction, markup, prompts
 from refminer.operators.metadata import suggested_pages
-from refminer.operators.tables import keep_first
 
 KEYS = ("title", "description", "license", "creator", "publisher", "keywords", "datePublished", "version", "identifier")
 
@@ -20,27 +19,18 @@ def _asked(rows: DataFrame, prompt: Column, extractor: extraction.Extractor, mod
     return extraction.ask(rows.withColumn("prompt", prompt), extractor, model, cache).drop("prompt", "prompt_id")
 
 
-def _first_object(answers: DataFrame, key: str) -> DataFrame:
-    """key and _said, the fields of the first object in each answer."""
-    items = extraction.parse_answers(answers.select(key, "answer"))
-    own = F.map_filter(F.create_map(*[x for f in extraction.FIELDS for x in (F.lit(f), F.col(f))]), lambda k, v: v.isNotNull())
-    said = items.select(key, F.map_concat("extras", own).alias("_said"))
-    return keep_first(said, [key], [F.sha2(F.to_json("_said"), 256)])
-
-
 def page_metadata(pages: DataFrame, extractor: extraction.Extractor | None = None, model: str = "rules", folders: tuple[str, ...] = (), cache: DataFrame | None = None) -> DataFrame:
     """key and metadata, a map, of pages (key, content): what the page says in a form for machines, and whatever else the
-    extractor finds in its text. Pages that say nothing have no row."""
-    declared = markup.dataset_metadata(pages.select("key", "content")).withColumnRenamed("metadata", "_declared")
-    both = pages.select(F.col("key").cast("string").alias("key"), "content").join(declared, "key", "left")
+    extractor finds in its text. Pages that say nothing have no row. A page is read once, and its rows go through all steps."""
     none = F.create_map().cast("map<string,string>")
     if extractor is None:
-        out = both.select("key", F.coalesce("_declared", none).alias("metadata"))
+        out = markup.dataset_metadata(pages.select("key", "content"))
     else:
+        both = markup.dataset_metadata(pages.select("key", "content"), with_content=True).withColumnRenamed("metadata", "_declared")
         known = F.coalesce(F.to_json("_declared"), F.lit("{}"))
         prompt = extraction.render(prompts.load_prompt("metadata", folders), keys=F.lit(", ".join(KEYS)), known=known, content=markup.strip_html(F.col("content")))
-        said = _first_object(_asked(both, prompt, extractor, model, cache), "key")
-        joined = both.join(said, "key", "left").select("key", F.coalesce("_declared", none).alias("_declared"), F.coalesce("_said", none).alias("_said"))
+        asked = _asked(both.select("key", "_declared", prompt.alias("prompt")), F.col("prompt"), extractor, model, cache)
+        joined = extraction.first_objects(asked, "key").select("key", F.coalesce("_declared", none).alias("_declared"), F.coalesce("_said", none).alias("_said"))
         fresh = F.map_filter("_said", lambda k, v: ~F.map_contains_key("_declared", k))
         out = joined.select("key", F.map_concat("_declared", fresh).alias("metadata"))
     return out.filter(F.size("metadata") > 0)
@@ -50,7 +40,8 @@ def described_datasets(papers: DataFrame, targets: DataFrame, extractor: extract
     """targets (key, dataset_identifier) with description, as the paper (key, text) of the same key has it; null where there is no answer."""
     template = prompts.load_prompt("description", folders)
     rows = targets.join(papers.select("key", "text"), "key").withColumn("_id", F.concat_ws("\x01", "key", "dataset_identifier"))
-    said = _first_object(_asked(rows.select("_id", "dataset_identifier", "text"), extraction.render(template, dataset=F.col("dataset_identifier"), content=F.col("text")), extractor, model, cache), "_id")
+    prompt = extraction.render(template, dataset=F.col("dataset_identifier"), content=F.col("text"))
+    said = extraction.first_objects(_asked(rows.select("_id", prompt.alias("prompt")), F.col("prompt"), extractor, model, cache), "_id").filter("_said is not null").dropDuplicates(["_id"])
     found = said.select("_id", F.try_element_at("_said", F.lit("description")).alias("description"))
     return targets.withColumn("_id", F.concat_ws("\x01", "key", "dataset_identifier")).join(found, "_id", "left").drop("_id")
 
@@ -61,7 +52,7 @@ def two_hops(pages: DataFrame, sitemap: DataFrame, fetch: Callable[[DataFrame],
     The extractor first suggests URLs; those that the sitemap (key, url) has are fetched (fetch adds content to rows with
     url), and the page and their texts are read as one.
     """
-    asked = _asked(pages.select("key", "content"), extraction.render(prompts.load_prompt("pages_to_read", folders), content=F.col("content")), extractor, model, cache)
+    asked = _asked(pages.select("key", extraction.render(prompts.load_prompt("pages_to_read", folders), content=F.col("content")).alias("prompt")), F.col("prompt"), extractor, model, cache)
     urls = F.from_json("answer", "urls array<string>")["urls"]
     suggestions = asked.select("key", F.coalesce(urls, F.array().cast("array<string>")).alias("urls"))
     chosen = suggested_pages(suggestions, sitemap, most)

@@ -13,7 +13,10 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
+from refminer.functions.batches import pieces
 from refminer.functions.identifiers import prompt_id
 from refminer.functions.text import token_estimate
 from refminer.operators import ontology
@@ -95,7 +98,7 @@ def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     others = [c for c in answers.columns if c != column]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in pieces(batch)):
             at, items = [], []
             for k, text in enumerate(part.column(column).to_pylist()):
                 found = [i for i in map(normalised_item, parse_json(text)) if i]
@@ -109,22 +112,63 @@ def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.select(*others, column).mapInArrow(run, fields + ", ".join(f"{f} string" for f in FIELDS) + ", extras map<string,string>")
 
 
+def first_objects(answers: DataFrame, key: str, name: str = "_said", column: str = "answer") -> DataFrame:
+    """answers with the fields, a map, of the first object in any answer of the same key, by a digest of it; null for none.
+
+    The objects are read where the rows are: nothing is joined back to them.
+    """
+    others = [c for c in answers.columns if c != column]
+    kind = pa.list_(pa.map_(pa.string(), pa.string()))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (piece for batch in parts for piece in pieces(batch)):
+            read = [[_fields(i) for i in map(normalised_item, parse_json(text)) if i] for text in part.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(read, kind)], [*others, "_o"])
+
+    schema = StructType([*answers.select(others).schema.fields, StructField("_o", ArrayType(MapType(StringType(), StringType())))])
+    marked = F.transform("_o", lambda o: F.struct(F.sha2(F.to_json(o), 256).alias("h"), o.alias("o")))
+    least = F.array_sort(marked, lambda x, y: F.when(x["h"] < y["h"], -1).when(x["h"] > y["h"], 1).otherwise(0))
+    own = answers.select(*others, column).mapInArrow(run, schema).withColumn("_f", F.get(least, F.lit(0)))
+    return own.withColumn(name, F.min_by("_f.o", "_f.h").over(Window.partitionBy(key))).select(*others, name)
+
+
+def _fields(item: dict[str, str]) -> list[tuple[str, str]]:
+    """All other keys, then FIELDS."""
+    return [(k, v) for k, v in item.items() if k not in FIELDS] + [(f, item[f]) for f in FIELDS if item.get(f) is not None]
+
+
 def ask(prompts: DataFrame, extractor: Extractor, model: str, cache: DataFrame | None = None) -> DataFrame:
-    """prompts (with prompt) and prompt_id, answer. What the cache has isn't asked again; equal prompts are asked once."""
+    """prompts (with prompt) and prompt_id, answer. What the cache has isn't asked again; equal prompts are asked once.
+
+    The rows are made once: equal prompts come one after the other in a partition, so nothing is joined back to them.
+    """
     keyed = prompts.withColumn("prompt_id", prompt_id(F.lit(model), F.lit(0.0), F.col("prompt")))
-    open_ = keyed.select("prompt_id", "prompt").dropDuplicates(["prompt_id"])
     if cache is not None:
-        open_ = open_.join(cache.select("prompt_id"), "prompt_id", "left_anti")
+        keyed = keyed.join(cache.select("prompt_id", F.col("answer").cast("string").alias("answer"), F.lit(True).alias("_known")), "prompt_id", "left")
+    else:
+        keyed = keyed.withColumns({"answer": F.lit(None).cast("string"), "_known": F.lit(None).cast("boolean")})
+    rows = keyed.select("prompt_id", *prompts.columns, "answer", "_known")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[Any, str | None] = (None, None)
         for part in parts:
-            said = extractor(part.column("prompt").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("prompt_id"), pa.array(said, pa.string())], ["prompt_id", "answer"])
-
-    answers = open_.mapInArrow(run, "prompt_id string, answer string")
-    if cache is not None:
-        answers = answers.unionByName(cache.select("prompt_id", "answer"))
-    return keyed.join(answers, "prompt_id", "left")
+            for piece in pieces(part):
+                names, known = piece.column("prompt_id").to_pylist(), piece.column("_known").to_pylist()
+                given, texts = piece.column("answer").to_pylist(), piece.column("prompt")
+                open_ = [k for k, (name, own) in enumerate(zip(names, known, strict=True)) if own is None and name is not None and name != (names[k - 1] if k else last[0])]
+                said = dict(zip(open_, extractor(texts.take(pa.array(open_, pa.int64())).to_pylist()) if open_ else [], strict=True))
+                out = []
+                for k, name in enumerate(names):
+                    if known[k] is None and name is not None:
+                        if k in said:
+                            last = name, said[k]
+                        given[k] = last[1]
+                    out.append(given[k])
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], pa.array(out, pa.string())], [*columns, "answer"])
+
+    columns = ["prompt_id", *prompts.columns]
+    schema = StructType([*rows.select(columns).schema.fields, StructField("answer", StringType())])
+    return rows.repartition("prompt_id").sortWithinPartitions("prompt_id").mapInArrow(run, schema)
 
 
 def fit_to_context(chunks: DataFrame, limit: int, content: str = "content") -> DataFrame:
