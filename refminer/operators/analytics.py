@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from refminer.functions.batches import pieces
 from refminer.functions.identifiers import extract, null_if_sentinel
 from refminer.operators import ontology
 from refminer.operators.tables import degrees, keep_first, value_counts
@@ -134,45 +138,44 @@ def _tokens(text: Column) -> Column:
 def rouge_n(rows: DataFrame, prediction: str, reference: str, n: int = 1, name: str | None = None) -> DataFrame:
     """rows with rouge_n: the F measure of the n-grams of words that prediction and reference share, each as often as both have it; 0 where there are none."""
 
-    def grams(text: str) -> Column:
-        words = _tokens(F.coalesce(text, F.lit("")))
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def score(p: list[str], q: list[str]) -> float:
+        a, b = (Counter(zip(*[words[k:] for k in range(n)], strict=False)) for words in (p, q))
+        total = a.total() + b.total()
+        # of every distinct n-gram the lesser number of occurrences counts
+        return 2.0 * (a & b).total() / total if total else 0.0
 
-    staged = rows.withColumns({"_p": grams(prediction), "_q": grams(reference)})
-    # of every distinct n-gram the lesser number of occurrences counts
-    count = lambda column, w: F.size(F.filter(column, lambda x: x == w))
-    shared = F.aggregate(F.array_intersect("_p", "_q"), F.lit(0), lambda s, w: s + F.least(count("_p", w), count("_q", w)))
-    total = F.size("_p") + F.size("_q")
-    return staged.withColumn(name or f"rouge_{n}", F.when(total > 0, 2.0 * shared / total).otherwise(0.0)).drop("_p", "_q")
+    return _scored(rows, prediction, reference, score, name or f"rouge_{n}")
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, with one row of the table."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for k, y in enumerate(b, 1):
-            diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
-    return row[-1]
+def _scored(rows: DataFrame, prediction: str, reference: str, score: Callable[[list[str], list[str]], float], name: str) -> DataFrame:
+    """rows with the score of the words of prediction and reference, called name."""
+    columns = [c for c in rows.columns if c != name]
+    staged = rows.select(*columns, _tokens(F.coalesce(prediction, F.lit(""))).alias("_p"), _tokens(F.coalesce(reference, F.lit(""))).alias("_q"))
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (piece for batch in parts for piece in pieces(batch)):
+            scores = [score(a.as_py(), b.as_py()) for a, b in zip(part.column("_p"), part.column("_q"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(scores, pa.float64())], [*columns, name])
 
-def rouge_l(rows: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """rows with rouge_l: the F measure of the longest common subsequence of words."""
-    staged = rows.withColumns({"_p": _tokens(F.coalesce(prediction, F.lit(""))), "_q": _tokens(F.coalesce(reference, F.lit("")))})
-    columns = staged.columns
+    return staged.mapInArrow(run, StructType([*rows.select(columns).schema.fields, StructField(name, DoubleType())]))
 
-    def run(parts: Any) -> Any:
-        for part in parts:
-            p, q = part.column("_p").to_pylist(), part.column("_q").to_pylist()
-            scores = [2 * longest_common(a, b) / (len(a) + len(b)) if a or b else 0.0 for a, b in zip(p, q, strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*columns, "rouge_l"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the table is the bits of one number, so a word of b costs len(a) / 64 steps."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        if met := row & places.get(y, 0):
+            row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
 
-    return staged.mapInArrow(run, StructType([*staged.schema.fields, StructField("rouge_l", DoubleType())])).drop("_p", "_q")
+
+def rouge_l(rows: DataFrame, prediction: str, reference: str) -> DataFrame:
+    """rows with rouge_l: the F measure of the longest common subsequence of words."""
+    return _scored(rows, prediction, reference, lambda a, b: 2 * longest_common(a, b) / (len(a) + len(b)) if a or b else 0.0, "rouge_l")
 
 
 def without_field(answer: Column, field: str = "dataset_webpage") -> Column:

@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from refminer.functions import batches
-from refminer.operators import markup, ontology, retrieval
+from refminer.operators import analytics, describe, extraction, markup, ontology, retrieval
 
 
 @pytest.mark.parametrize("n", [1, 60, 2_000, 250_000, 40_000_000])
@@ -79,3 +80,63 @@ def test_parsed_rows_leave_in_pieces(spark, monkeypatch):
     batch = pa.record_batch({"key": pa.array([str(k) for k in range(600)]), "content": pa.array(["<p>" + "word " * 2000 + "</p>"] * 600), "format": pa.array(["HTML"] * 600)})
     first = next(run["f"](iter([batch])))
     assert len(first) == len(held) < 600
+
+
+def test_prompts_are_made_once_and_asked_once(spark):
+    rows = spark.createDataFrame([(k, f"p{k % 7}") for k in range(700)], "k int, t string")
+
+    def answer(prompts):
+        assert len(prompts) == len(set(prompts))
+        return [None if p == "p3" else p.upper() for p in prompts]
+
+    asked = extraction.ask(rows.select("k", F.col("t").alias("prompt")), answer, "m")
+    assert sorted((r["k"], r["answer"]) for r in asked.collect()) == [(k, None if k % 7 == 3 else f"P{k % 7}") for k in range(700)]
+    assert asked.columns == ["prompt_id", "k", "prompt", "answer"]
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    cache = asked.select("prompt_id", "answer").distinct().filter("answer is null or answer < 'P5'")
+    again = extraction.ask(rows.select("k", F.col("t").alias("prompt")), lambda prompts: ["new" + p for p in prompts], "m", cache)
+    assert {(r["prompt"], r["answer"]) for r in again.collect()} == {("p0", "P0"), ("p1", "P1"), ("p2", "P2"), ("p3", None), ("p4", "P4"), ("p5", "newp5"), ("p6", "newp6")}
+
+
+def test_pages_are_read_once(spark):
+    page = '<script type="application/ld+json">{"@type": "Dataset", "name": "N"}</script><h1>H</h1>'
+    pages = spark.createDataFrame([("a", page), ("b", "<p>plain</p>"), ("c", None), ("d", "")], "key string, content string")
+    said = {"a": '{"name": "other", "title": "T"}', "b": '[{"title": "U"}, {"title": "V"}]'}
+
+    def answer(prompts):
+        return [said["a"] if "H" in p.rpartition("N")[2] else said["b"] if "plain" in p else None for p in prompts]
+
+    found = describe.page_metadata(pages, answer)
+    got = {r["key"]: r["metadata"] for r in found.collect()}
+    assert got["a"] == {"name": "N", "title": "T"} and got["b"]["title"] in "UV" and set(got) == {"a", "b"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["key"]: r["metadata"] for r in describe.page_metadata(pages).collect()} == {"a": {"name": "N"}}
+
+
+def test_rouge_of_long_texts(spark):
+    rng = random.Random(4)
+    texts = [[rng.choice("abcdef") for _ in range(rng.randrange(90))] for _ in range(60)] + [["a"], [], ["b", "a"] * 4000]
+    rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(zip(texts, texts[::-1], strict=True))] + [(99, None, "a")], "k int, a string, b string")
+    got = {r["k"]: r for r in analytics.rouge_l(analytics.rouge_n(analytics.rouge_n(rows, "a", "b"), "a", "b", 2), "a", "b").collect()}
+
+    def shared(a, b, n):
+        p, q = ([tuple(t[k : k + n]) for k in range(len(t) - n + 1)] for t in (a, b))
+        return 2.0 * sum(min(p.count(g), q.count(g)) for g in set(p)) / (len(p) + len(q)) if p or q else 0.0
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for k, y in enumerate(b, 1):
+                diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    for k, (a, b) in enumerate(zip(texts, texts[::-1], strict=True)):
+        if len(a) + len(b) < 1000:
+            assert (got[k]["rouge_1"], got[k]["rouge_2"]) == (shared(a, b, 1), shared(a, b, 2))
+            assert got[k]["rouge_l"] == (2 * table(a, b) / (len(a) + len(b)) if a or b else 0.0)
+    assert got[99]["rouge_1"] == 0.0
+    words = [str(k) for k in range(20_000)]  # 400 million cells of a table
+    began = time.process_time()
+    assert analytics.longest_common(words, words[1:]) == 19_999 and time.process_time() - began < 5
