@@ -11,9 +11,12 @@ from typing import Any
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refminer.functions.batches import pieces
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files with a header; arrays and maps as JSON."""
@@ -36,17 +39,18 @@ def write_json_lines(lines: DataFrame, path: str, max_mb: float = 200.0, column:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, size = uuid.uuid4().hex, 0
-        for part in parts:
+        for part in (piece for batch in parts for piece in pieces(batch)):
+            kept = part.filter(part.column("value").is_valid())
             names = []
-            for line in part.column("value").to_pylist():
-                length = len(line.encode()) + 1
-                if size and size + length > limit:
+            for length in pc.binary_length(kept.column("value")).to_pylist():
+                if size and size + length + 1 > limit:
                     name, size = uuid.uuid4().hex, 0
-                size += length
+                size += length + 1
                 names.append(name)
-            yield pa.RecordBatch.from_arrays([part.column("value"), pa.array(names, pa.string())], ["value", "part"])
+            yield pa.RecordBatch.from_arrays([kept.column("value"), pa.array(names, pa.string())], ["value", "part"])
 
-    named = lines.select(F.col(column).cast("string").alias("value")).filter("value is not null").mapInArrow(cut, "value string, part string")
+    # a filter of nulls here would be pushed down and make every line twice
+    named = lines.select(F.col(column).cast("string").alias("value")).mapInArrow(cut, "value string, part string")
     named.write.mode("overwrite").partitionBy("part").text(path)
     spark = lines.sparkSession
     return sum(1 for s in _listed(spark, path) if s.rpartition("/")[2].startswith("part="))

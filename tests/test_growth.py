@@ -1,5 +1,6 @@
 """What steps send, hold and repeat as tables grow."""
 
+import json
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from refminer.functions import batches
 from refminer.operators import analytics, describe, extraction, markup, ontology, retrieval
+from refminer.sources import sinks
 
 
 @pytest.mark.parametrize("n", [1, 60, 2_000, 250_000, 40_000_000])
@@ -140,3 +142,31 @@ def test_rouge_of_long_texts(spark):
     words = [str(k) for k in range(20_000)]  # 400 million cells of a table
     began = time.process_time()
     assert analytics.longest_common(words, words[1:]) == 19_999 and time.process_time() - began < 5
+
+
+def test_lines_are_made_once_and_whole(spark, tmp_path, monkeypatch):
+    texts = ["é" * 300, None, "x" * 5000, "", "y" * 700, "z"] * 40
+    lines = spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(type(lines), "mapInArrow", lambda self, f, schema, own=type(lines).mapInArrow: seen.append(self._jdf.queryExecution().optimizedPlan().toString()) or own(self, f, schema))
+    n = sinks.write_json_lines(lines.select(F.regexp_replace("line", "q", "r").alias("line")), str(tmp_path / "l"), max_mb=0.004)
+    assert seen[0].count("regexp_replace") == 1
+    sizes = [sum(p.stat().st_size for p in d.glob("*.txt")) for d in (tmp_path / "l").glob("part=*")]
+    assert len(sizes) == n and sum(sizes) == sum(len(t.encode()) + 1 for t in texts if t is not None)
+    assert all(s <= 4000 or s == 5001 for s in sizes)
+
+
+def test_chunks_are_looked_through_once(spark):
+    chunks = spark.createDataFrame([("a", "section", "GSE1"), ("b", "section", "none")], "chunk_key string, kind string, text string")
+    found = retrieval.relevant_chunks(chunks, chunks.select("chunk_key").limit(0))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(array") == 1
+    assert [r["reason"] for r in found.collect()] == ["identifier"]
+
+
+def test_rule_extractor_reads_words_with_digits():
+    text = "x\nText: See GSE1, and\tPXD12345\n(MSV7) plain E-ABCD-1; pdb1abc phs1.v1.p1 doi:10.5061/dryad.ab"
+    extractor = extraction.RuleExtractor()
+    assert extractor.by_words and not extraction.RuleExtractor(ontology.EXTENDED).by_words
+    fast = extractor([text, "none"])
+    extractor.by_words = False
+    assert fast == extractor([text, "none"]) and len(json.loads(fast[0])["datasets"]) == 7
