@@ -184,12 +184,17 @@ class RuleExtractor:
     """Answers with the identifiers of known repositories that stand in the prompt's text; deterministic, offline."""
 
     def __init__(self, source: Any = None) -> None:
+        from refminer.operators.retrieval import within_words_with_digits
+
         self.patterns = [(repo, re.compile(pattern, re.I)) for repo, pattern in ontology.search_patterns(source)]
+        self.by_words = all(within_words_with_digits(p.pattern) for _, p in self.patterns)
 
     def __call__(self, prompts: list[str]) -> list[str | None]:
         out: list[str | None] = []
         for prompt in prompts:
             text = prompt.rpartition("\nText: ")[2]
+            if self.by_words:  # an identifier has a digit
+                text = " ".join(w for w in text.split() if not w.isalpha())
             found = dict.fromkeys((m.group(0), repo) for repo, pattern in self.patterns for m in pattern.finditer(text))
             out.append(json.dumps({"datasets": [{"dataset_identifier": i, "data_repository": repo} for i, repo in found]}))
         return out

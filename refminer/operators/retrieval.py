@@ -54,9 +54,13 @@ def _needs_digit(pattern: str) -> bool:
         return False
 
 
+def within_words_with_digits(pattern: str) -> bool:
+    return _within_words(pattern) and _needs_digit(pattern)
+
+
 def _searched(text: Column, patterns: list[str]) -> Column:
     """What of a text the patterns have to be looked for in: where all of them match within words and with a digit, its words with a digit."""
-    if all(_within_words(p) and _needs_digit(p) for p in patterns):
+    if all(map(within_words_with_digits, patterns)):
         return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: w.rlike("[0-9]")), " ")
     return text
 
@@ -238,7 +242,8 @@ def relevant_chunks(chunks: DataFrame, hits: DataFrame, key: str = "chunk_key",
     found = hits.select(key).distinct().withColumn("_hit", F.lit(True))
     joined = chunks.join(found, key, "left")
     reason = F.when(F.col("kind") == "availability", F.lit("rule")).when(F.col("_hit"), F.lit("similar")).when(any_identifier(F.col("text"), source), F.lit("identifier"))
-    return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_hit")
+    # a row without a reason has none to explode: a filter would be pushed down and look through the text again
+    return joined.withColumn("reason", F.explode(F.filter(F.array(reason), lambda r: r.isNotNull()))).drop("_hit")
 
 
 def embed(rows: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
